@@ -98,3 +98,27 @@ WITH u AS (
 )
 SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict FROM m WHERE k = 1
 """
+
+
+def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from timberline.llm.token_file import token_file_index, write_token_files
+
+    scratch = Scratch(spark, "token_file")
+    write_token_files(table(spark, sf_dir, "documents", "doc_id", "text"), scratch.path("files"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_file_index(spark, scratch.path("files"), scratch)
+
+
+QUERIES["op1_token_file"] = op1_token_file
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from timberline.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+QUERIES["op4_packing"] = op4_packing
