@@ -122,3 +122,18 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_packing"] = op4_packing
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from timberline.llm.secrets import find_secrets, secret_digests
+
+    return secret_digests(find_secrets(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from timberline.llm.flac import media_digests, texts_to_media
+
+    return media_digests(texts_to_media(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+QUERIES |= {"op5_secrets": op5_secrets, "op6_flac": op6_flac}
