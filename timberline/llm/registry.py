@@ -137,3 +137,14 @@ def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op5_secrets": op5_secrets, "op6_flac": op6_flac}
+
+
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from timberline.llm.langid import held_out, predict_languages, train, training_sample
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = train(training_sample(docs.where(~held_out())))
+    return predict_languages(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+QUERIES["op2_langid"] = op2_langid
