@@ -177,3 +177,12 @@ p AS (
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id JOIN c ON d.doc_id = c.node
 """
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from timberline.llm.quality import judge_quality
+
+    return judge_quality(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["op10_quality"] = op10_quality
