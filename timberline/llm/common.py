@@ -90,5 +90,15 @@ def texts_of(batch: pa.RecordBatch, column: str, step: int = 256) -> Iterator[tu
         yield at, data.slice(at, step).to_pylist()
 
 
+def filter_rows(df: DataFrame, keep: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, list[bool]]]]) -> DataFrame:
+    """The rows of ``df`` that ``keep`` marks, with all their columns as they are; nothing shuffles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, mask in keep(batches):
+            yield batch if all(mask) else batch.filter(pa.array(mask, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()

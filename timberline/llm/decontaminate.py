@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import map_arrow, texts_of
+from timberline.llm.common import filter_rows, map_arrow, texts_of
 
 #: Consecutive words of a window.
 WINDOW = 10
@@ -141,3 +141,22 @@ def _scanned(df: DataFrame, items: list[tuple[str, str | None]], kind: str, size
         return map_arrow(df, rows, f"_id {kind}, _text string, n_words bigint, _ranges array<int>, items array<string>", 500)
     schema = f"_id {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>"
     return map_arrow(df, rows, schema + ", _text string" * keep_text, 500)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", size: int = WINDOW) -> DataFrame:
+    """The documents in which no benchmark window occurs, with all their columns."""
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text"))
+    blocks = max(1, -(-benchmark.count() // ITEMS_PER_PASS))
+    for b in range(blocks):
+        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
+        docs = _clean(docs, [tuple(r) for r in part.collect()], text_col, size)
+    return docs
+
+
+def _clean(docs: DataFrame, items: list[tuple[str, str | None]], text_col: str, size: int) -> DataFrame:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bool]]]:
+        scanner = Scanner(items, size)
+        for batch in batches:
+            yield batch, [not scanner.scan(normal_words(t))[0] for _, texts in texts_of(batch, text_col) for t in texts]
+
+    return filter_rows(docs, keep)

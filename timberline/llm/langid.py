@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import map_arrow, texts_of
+from timberline.llm.common import filter_rows, map_arrow, texts_of
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 16
@@ -192,29 +192,37 @@ def training_sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str =
     return [(r["text"], r["lang"]) for r in chosen.select(F.col("text").substr(start + 1, F.lit(SAMPLE_CHARS)).alias("text"), "lang").collect()]
 
 
-def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Returns (id, lang_pred, score, rejected[, kept columns]); only the text is looked at.
+def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Returns (id, lang_pred, score, rejected), a row per input row; only the text is looked at.
 
     Texts that are null or have no letter are ``und`` with score 0 and rejected, as all are if nothing was
     learned. Repeated rows stay, equal texts get equal results, and other columns are dropped.
     """
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    names = [id_col, *(c for c in keep if c != id_col)]
-    narrow = docs.select(F.col(text_col).alias("_text"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(names)))
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         known = broadcast.value
         for batch in batches:
-            others = [batch.column(i + 1).to_pylist() for i in range(len(names))]
+            ids = batch.column(0).to_pylist()
             for at, texts in texts_of(batch, "_text"):
                 for i, text in enumerate(texts, at):
                     lang, score, rejected = known.predict(text)
-                    yield {f"_{k}": c[i] for k, c in enumerate(others)} | {"lang_pred": lang, "score": score, "rejected": rejected}
+                    yield {"_id": ids[i], "lang_pred": lang, "score": score, "rejected": rejected}
 
-    schema = ", ".join(f"_{i} {fields[c]}" for i, c in enumerate(names)) + ", lang_pred string, score double, rejected boolean"
-    out = map_arrow(narrow, rows, schema, 500)
-    return out.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(names)), "lang_pred", "score", "rejected")
+    narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    return map_arrow(narrow, rows, f"_id {kind}, lang_pred string, score double, rejected boolean", 2000).withColumnRenamed("_id", id_col)
+
+
+def drop_rejected(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """The documents whose prediction is not rejected, with all their columns."""
+    broadcast = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bool]]]:
+        for batch in batches:
+            yield batch, [not broadcast.value.predict(t)[2] for _, texts in texts_of(batch, text_col) for t in texts]
+
+    return filter_rows(docs, keep)
 
 
 def held_out(id_col: str = "doc_id"):

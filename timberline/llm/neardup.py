@@ -343,3 +343,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = sketched.select("_id", "n", has_class.alias("cls")).join(named, "cls", "left")
     component = F.coalesce("component", "_id")
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(False)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The document with the smallest id of each component, and all without an id, with all their columns."""
+    found = near_duplicates(docs, id_col, text_col, size, percent)
+    dropped = Scratch(docs.sparkSession, "dropped").keep(found.where(~F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct(), "ids")
+    return docs.join(dropped, id_col, "left_anti").select(docs.columns)

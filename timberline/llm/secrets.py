@@ -34,6 +34,8 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Scored strings that a worker remembers.
+MEMO = 100_000
 #: Characters that a run may have, for the share of unseen ones.
 _ALPHABET = 64
 
@@ -165,11 +167,17 @@ class SecretModel:
         self.kinds = {k: Automaton(v) for k, v in credentials.items() if v}
         self.words = Automaton(words) if words else None
 
+        self._memo: dict[str, bool] = {}
+
     def is_secret(self, s: str) -> bool:
         if not self.kinds or self.words is None:
             return False
-        ratio = max(a.log_likelihood(s) for a in self.kinds.values()) - self.words.log_likelihood(s)
-        return ratio > LEAST_RATIO and ratio > LEAST_RATIO_PER_CHAR * len(s)
+        if s not in self._memo:
+            if len(self._memo) >= MEMO:
+                self._memo.clear()
+            ratio = max(a.log_likelihood(s) for a in self.kinds.values()) - self.words.log_likelihood(s)
+            self._memo[s] = ratio > LEAST_RATIO and ratio > LEAST_RATIO_PER_CHAR * len(s)
+        return self._memo[s]
 
 
 def scan_patterns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,21 +221,15 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema[id_col].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        memo: dict[str, bool] = {}
+        names = (*KINDS, GRAMMAR)
         for batch in batches:
             for r in batch.to_pylist():
                 spans = []
                 for start, number, end, value in zip(r["starts"], r["kinds"], r["ends"], r["values"], strict=True):
                     if number >= 0:
                         spans.append((start, number, end))
-                        continue
-                    if len(memo) > 100_000:
-                        memo.clear()
-                    if value not in memo:
-                        memo[value] = model.is_secret(value)
-                    if memo[value]:
+                    elif model.is_secret(value):
                         spans.append((start, len(KINDS), end))
-                names = (*KINDS, GRAMMAR)
                 yield {"_id": r[id_col], "spans": [{"kind": names[k], "start": a, "end": b} for a, k, b in sorted(spans)]}
 
     return map_arrow(scanned, rows, f"_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>", 2000).withColumnRenamed("_id", id_col)
@@ -251,3 +253,40 @@ def redact(text: str, spans: list[dict]) -> str:
         at = max(at, s["end"])
     return "".join([*out, text[at:]])
 
+
+
+def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """All documents and columns, with each secret replaced by the name of its kind in angle brackets.
+
+    ``size_col``, if there is one, is the length of a changed text; texts without secrets, null ones
+    too, stay as they are.
+    """
+    model = train_model(Scratch(docs.sparkSession, "redact").keep(scan_patterns(docs, id_col, text_col), "scanned"))
+    at = docs.columns.index(text_col)
+    size_at = docs.columns.index(size_col) if size_col in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, sizes, changed = batch.column(at).to_pylist(), batch.column(size_at).to_pylist() if size_at is not None else None, False
+            for i, text in enumerate(texts):
+                spans = spans_of(text, model) if text else []
+                if spans:
+                    texts[i], changed = redact(text, spans), True
+                    if sizes is not None:
+                        sizes[i] = len(texts[i])
+            if changed:
+                columns = list(batch.columns)
+                columns[at] = pa.array(texts, batch.schema.field(at).type)
+                if sizes is not None:
+                    columns[size_at] = pa.array(sizes, batch.schema.field(size_at).type)
+                batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            yield batch
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def spans_of(text: str, model: SecretModel) -> list[dict]:
+    base = base_spans(text)
+    found = [(a, k, b) for a, k, b, _ in base] + [(a, len(KINDS), b) for a, b in candidates(text, base) if model.is_secret(text[a:b])]
+    names = (*KINDS, GRAMMAR)
+    return [{"kind": names[k], "start": a, "end": b} for a, k, b in sorted(found)]
