@@ -1,15 +1,16 @@
-"""Token ids by the tokenizers library, with a bounded memo of what white-space separated chunks encode to.
+"""Token ids by the tokenizers library, with a bounded memo of what chunks of text encode to.
 
-The two BPE vocabularies cut a text at white space before any merge, so a text's ids are those of
-its chunks in order. Each distinct chunk is encoded once per worker by the library; texts in which that could
-fail (special-token strings, unusual spaces or control characters, combining marks at a chunk's start) are
-encoded whole.
+The two BPE vocabularies cut a text at white space, and letters from punctuation, before any merge; so a text's
+ids are those of its chunks in order. Each distinct chunk is encoded once per worker by the library (a
+chunk of letters and one punctuation mark as its two parts). Texts in which that could fail
+(special-token strings, unusual spaces, control characters or scripts) are encoded whole.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 
@@ -21,8 +22,24 @@ MEMO_CHUNK_CHARS = 64
 JOINED = 20_000
 
 #: Characters whose role as white space, or in normalisation across a chunk's edge, could differ between libraries:
-#: all but printable ASCII, tab, newline, carriage return, letters of Latin, Greek and Cyrillic, and punctuation of Latin-1.
-_UNUSUAL = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-ʯͰ-҂Ҋ-ԯ‐-‧‰-⁞₠-₿]")
+#: all but printable ASCII, tab, newline, carriage return, letters of Latin, Greek and Cyrillic, and common punctuation.
+_UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-ʯͰ-҂Ҋ-ԯ‐-‧‰-⁞₠-₿]")
+#: White space that is not a single space or newline between other characters.
+_UNEVEN = re.compile(r"[ \n][ \n]|[\t\r]|[ \n]\Z")
+_LETTERS = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+_MARKS = frozenset(".,;:!?")
+#: Keys of chunks with no space before them begin with this.
+_BARE = "\r"
+
+
+def _byte_letters() -> str:
+    """The letter by which a byte-level vocabulary writes each byte: printable bytes as they are, the others from 256 on."""
+    kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return "".join(chr(b if b in kept else next(others)) for b in range(256))
+
+
+_BYTE_LETTERS = _byte_letters()
 
 
 class ChunkEncoder:
@@ -35,18 +52,26 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         # With a byte-level BPE a space belongs to the word after it; with word ends white space vanishes.
-        keeps_space = len(self._plain("a  b")) > len(self._plain("a b"))
-        self.chunks = re.compile(r" ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+" if keeps_space else r"[^ \t\n\r]+").findall
-        self.separator, self.separator_id = ("\n", self._plain("\n")[0]) if keeps_space else self._rare()
+        self.keeps_space = len(self._plain("a  b")) > len(self._plain("a b"))
+        self.uneven = re.compile(r" ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+").findall
+        self.separator, self.separator_id = ("\n", self._plain("\n")[0]) if self.keeps_space else self._rare()
+        self.lowers = self._plain("A") == self._plain("a")
+        self.newline = self._bytes(self._plain("\n"))
+        self.marks = {m: self._bytes(self._plain(f"a{m}")[1:]) for m in _MARKS}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
     def _rare(self) -> tuple[str, int]:
         """A symbol that is a token by itself, between spaces; chunks that hold it are encoded alone."""
         for code in range(0x2190, 0x2800):
@@ -56,48 +81,99 @@ class ChunkEncoder:
                 return f" {mark} ", ids[1]
         raise ValueError("no symbol is a single token")
 
-    def _encoded(self, chunks: list[str]) -> dict[str, bytes]:
-        """What the library makes of each chunk, with many chunks joined to one text."""
+    def _keys(self, text: str) -> list[str] | None:
+        """The text's chunks by their memo keys; None if it must be encoded whole."""
+        if _UNUSUAL.search(text) or any(s in text for s in self.special):
+            return None
+        if not self.keeps_space:
+            return text.split()
+        if _UNEVEN.search(text):
+            return [c[1:] if c[0] == " " and len(c) > 1 and c[1] not in " \t\n\r" else _BARE + c for c in self.uneven(text)]
+        # A chunk starts at each space, which its key leaves out, or newline, which it keeps.
+        keys = text.replace("\n", " \n").split(" ")
+        if keys[0]:
+            keys[0] = _BARE + keys[0]
+        else:
+            del keys[0]
+        return keys
+
+    def _form(self, key: str) -> str:
+        """The text of a key."""
+        if not self.keeps_space:
+            return key
+        return key[1:] if key[0] == _BARE else key if key[0] == "\n" else " " + key
+
+    def _library(self, keys: set[str]) -> dict[str, bytes]:
+        """What the library makes of each key's text: letters by the model itself, the rest joined to long texts."""
         out: dict[str, bytes] = {}
-        mark = self.separator.strip() or self.separator
-        joinable = [c for c in chunks if mark not in c and not c.isspace()]
+        joinable = []
+        letters, tokenize, code = _LETTERS.fullmatch, self.model.tokenize, self.code
+        space = _BYTE_LETTERS[32] if self.keeps_space else ""
+        for key in keys:
+            bare = key[0] == _BARE
+            if letters(key, 1 if bare else 0):
+                word = key[1:] if bare else key
+                word = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                out[key] = array(code, [t.id for t in tokenize(word if bare else space + word)]).tobytes()
+                continue
+            form = self._form(key)
+            if (self.separator.strip() or "\n") in form or form.isspace():
+                out[key] = self._bytes(self._plain(form))
+            else:
+                joinable.append(key)
         for at in range(0, len(joinable), JOINED):
             part = joinable[at : at + JOINED]
-            ids = np.array(self._plain(self.separator.join(["", *part, ""])), self.dtype)
+            ids = np.array(self._plain(self.separator.join(["", *map(self._form, part), ""])), self.dtype)
             cuts = np.flatnonzero(ids == self.separator_id)
-            if len(cuts) != len(part) + 1:
-                joinable = []
-                break
-            raw, size = ids.tobytes(), self.dtype.itemsize
-            edges = (cuts * size).tolist()
-            out.update((c, raw[a + size : b]) for c, a, b in zip(part, edges, edges[1:], strict=False))
-        for c in chunks:
-            if c not in out:
-                out[c] = np.array(self._plain(c), self.dtype).tobytes()
+            if len(cuts) == len(part) + 1:
+                raw, size = ids.tobytes(), self.dtype.itemsize
+                edges = (cuts * size).tolist()
+                out.update((c, raw[a + size : b]) for c, a, b in zip(part, edges, edges[1:], strict=False))
+            else:
+                out.update((c, self._bytes(self._plain(self._form(c)))) for c in part)
+        return out
+
+    def _split(self, key: str) -> tuple[bytes, str, bytes]:
+        """Ids before, a key without them, and ids after: a newline and a final mark are tokens by themselves."""
+        before = after = b""
+        if key[0] == "\n" and len(key) > 1 and self.keeps_space and "\n" not in key[1:]:
+            before, key = self.newline, _BARE + key[1:]
+        stem = key[:-1]
+        if key[-1] in _MARKS and stem and _LETTERS.fullmatch(stem, 1 if stem[0] == _BARE else 0):
+            key, after = stem, self.marks[key[-1]]
+        if self.lowers and _LETTERS.fullmatch(key):
+            key = key.lower()
+        return before, key, after
+
+    def _new(self, missing: set[str]) -> dict[str, bytes]:
+        young, old = self.young, self.old
+        out = {c: old[c] for c in missing & old.keys()}
+        parts = {c: self._split(c) for c in missing - out.keys()}
+        cores = {p[1] for p in parts.values()}
+        known = {c: ids for c in cores if (ids := young.get(c) or out.get(c) or old.get(c)) is not None}
+        known.update(self._library(cores - known.keys()))
+        out.update(known)
+        out.update((c, before + known[core] + after) for c, (before, core, after) in parts.items())
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as an array of ``dtype``."""
-        cut = [None if _UNUSUAL.search(t) or any(s in t for s in self.special) else self.chunks(t) for t in texts]
-        young, old = self.young, self.old
-        fresh = set().union(*(c for c in cut if c)) - young.keys()
-        now = {c: old[c] for c in fresh & old.keys()}
-        now.update(self._encoded(list(fresh - now.keys())))
-        if len(young) + len(now) > MEMO_CHUNKS:
-            self.old, self.young = young, {}
-        self.young.update((c, ids) for c, ids in now.items() if len(c) <= MEMO_CHUNK_CHARS)
-        lookup = young if self.young is young and all(len(c) <= MEMO_CHUNK_CHARS for c in now) else _Both(young, now)
-        get = lookup.__getitem__
-        return [np.array(self._plain(t), self.dtype) if c is None else np.frombuffer(b"".join(map(get, c)), self.dtype) for t, c in zip(texts, cut, strict=True)]
-
-
-class _Both:
-    def __init__(self, first: dict[str, bytes], second: dict[str, bytes]):
-        self.first, self.second = first, second
-
-    def __getitem__(self, key: str) -> bytes:
-        found = self.first.get(key)
-        return self.second[key] if found is None else found
+        keys = [self._keys(t) for t in texts]
+        found = [None if k is None else list(map(self.young.get, k)) for k in keys]
+        missing = {c for k, f in zip(keys, found, strict=True) if f and None in f for c, ids in zip(k, f, strict=True) if ids is None}
+        new = self._new(missing) if missing else {}
+        out = []
+        for text, k, f in zip(texts, keys, found, strict=True):
+            if f is None:
+                out.append(np.array(self._plain(text), self.dtype))
+                continue
+            if None in f:
+                f = [new[c] if ids is None else ids for c, ids in zip(k, f, strict=True)]
+            out.append(np.frombuffer(b"".join(f), self.dtype))
+        if len(self.young) + len(new) > MEMO_CHUNKS:
+            self.old, self.young = self.young, {}
+        self.young.update((c, ids) for c, ids in new.items() if len(c) <= MEMO_CHUNK_CHARS)
+        return out
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
