@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timberline.plans import binding
+from timberline.plans import binding, more_queries
 from timberline.plans.example_oracles import example_oracles
 from timberline.plans.examples import EXAMPLES, Question
 from timberline.plans.report_oracles import report_oracles
@@ -28,5 +28,5 @@ def _example(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: EXAMPLES[name](bound_tables(spark, sf_dir), Question())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _report(name) for name in REPORT} | {name: _example(name) for name in EXAMPLES}
-ORACLES: dict[str, str] = report_oracles(THRESHOLDS.lock_ms) | example_oracles(Question())
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _report(name) for name in REPORT} | {name: _example(name) for name in EXAMPLES} | more_queries.QUERIES
+ORACLES: dict[str, str] = report_oracles(THRESHOLDS.lock_ms) | example_oracles(Question()) | more_queries.ORACLES
