@@ -43,11 +43,11 @@ def padded_bytes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def ngram_codes(texts: list[bytes]) -> np.ndarray:
     """The n-gram that ends at each byte of each text, as an integer of ORDER bytes."""
     if not texts:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint32)
     data, own = padded_bytes(texts)
-    code = np.zeros(len(data), np.int64)
+    code = np.zeros(len(data), np.uint32)
     for k in range(ORDER):
-        code[ORDER - 1 :] |= data[ORDER - 1 - k : len(data) - k].astype(np.int64) << (8 * k)
+        code[ORDER - 1 :] |= data[ORDER - 1 - k : len(data) - k].astype(np.uint32) << np.uint32(8 * k)
     return code[own]
 
 
@@ -59,7 +59,7 @@ def count_ngrams(texts: DataFrame, text_col: str = "text") -> DataFrame:
 
         def counted() -> pa.RecordBatch:
             g, c = np.unique(ngram_codes(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(c, pa.int64())], ["g", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), pa.array(c.astype(np.int64))], ["g", "c"])
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -164,7 +164,7 @@ def chunk_scores(texts: list[bytes], codes: np.ndarray, logp: np.ndarray) -> lis
     def context(c: np.ndarray) -> np.ndarray:
         out = np.zeros(len(c), np.int64)
         for k in range(ORDER - 1, 0, -1):
-            out = out * len(seen) + rank[c >> (8 * k) & 255]
+            out = out * len(seen) + rank[c >> c.dtype.type(8 * k) & c.dtype.type(255)]
         return out
 
     contexts, place = np.unique(context(codes), return_inverse=True)
@@ -177,7 +177,7 @@ def chunk_scores(texts: list[bytes], codes: np.ndarray, logp: np.ndarray) -> lis
     for t in texts:
         part = flat[at : at + len(t)]
         at += len(t)
-        out.append(float(table[dense[context(part)], rank[part & 255]].mean()) if len(part) else None)
+        out.append(float(table[dense[context(part)], rank[part & np.uint32(255)]].mean()) if len(part) else None)
     return out
 
 
