@@ -224,7 +224,10 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
 
 
 def _texts_of_ids(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The texts of the given ids. A Bloom filter of bounded size spares most others the shuffle; the join is exact."""
+    """The texts of the given ids. A Bloom filter of bounded size spares most others the shuffle; the join is exact.
+
+    The ids grow with the corpus, so they are never broadcast, however few they are.
+    """
     from timberline.llm.neardup import _bloom, _bloom_places
 
     words, bits = _bloom(ids, "id")
@@ -241,7 +244,7 @@ def _texts_of_ids(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -
 
     key = F.col(id_col).cast("bigint")
     narrow = docs.where(F.col(id_col).isNotNull()).select(key.alias("id"), F.col(text_col).alias("text"), *(p.alias(f"_p{i}") for i, p in enumerate(_bloom_places(key, bits))))
-    return narrow.mapInArrow(rows, "id bigint, text string").join(ids, "id").select("text")
+    return narrow.mapInArrow(rows, "id bigint, text string").join(ids.hint("merge"), "id").select("text")
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
