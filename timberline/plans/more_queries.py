@@ -74,9 +74,9 @@ def f11(spark, d):
     return binding.process(spark, d).select("processkey", scalars.replica_of(F.col("ip")).alias("replica"), scalars.client_of(F.col("ip")).alias("client"))
 
 
-@_add("f17_byte_count", oracle("SELECT lineNumber, CASE WHEN b >= 1000000000 THEN printf('%.1f GB', b / 1e9) WHEN b >= 1000000 THEN printf('%.1f MB', b / 1e6) WHEN b >= 1000 THEN printf('%.1f kB', b / 1e3) ELSE b || ' B' END AS size FROM (SELECT lineNumber, proxyTotalsSvr * 1250 * (lineNumber % 7) AS b FROM p4pcmd)", "p4pcmd"))
+@_add("f17_byte_count", oracle("SELECT lineNumber, CASE WHEN b >= 1000000000 THEN printf('%.1f GB', b / 1e9) WHEN b >= 1000000 THEN printf('%.1f MB', b / 1e6) WHEN b >= 1000 THEN printf('%.1f kB', b / 1e3) ELSE b || ' B' END AS size FROM (SELECT lineNumber, proxyTotalsSvr * 1250 * (lineNumber % 7) + 1 AS b FROM p4pcmd)", "p4pcmd"))
 def f17(spark, d):
-    return binding.proxy(spark, d).select("lineNumber", scalars.byte_count_decimal(F.expr("proxyTotalsSvr * 1250 * (lineNumber % 7)")).alias("size"))
+    return binding.proxy(spark, d).select("lineNumber", scalars.byte_count_decimal(F.expr("proxyTotalsSvr * 1250 * (lineNumber % 7) + 1")).alias("size"))
 
 
 @_add("f18_buckets", oracle("SELECT processkey, " + ", ".join(f"substr(strftime(startTime, '%Y/%m/%d %H:%M:%S'), 1, {n}) AS b{n}" for n in (10, 13, 15, 16, 19)) + " FROM process", "process"))
