@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,48 +49,58 @@ def _rows(df: DataFrame, values: dict[str, Column], labels: dict[str, Column]) -
     return df.select(named.alias("labels"), each).select("x.metric", "labels", "x.value")
 
 
-def _by(df: DataFrame, prefix: str, labels: dict[str, Column]) -> DataFrame:
-    """Counter and seconds of the commands in each group."""
-    groups = df.groupBy(*(v.alias(k) for k, v in labels.items())).agg(F.count("*").alias("_n"), F.sum("completedLapse").alias("_s"))
-    return _rows(groups, {f"{prefix}_counter": F.col("_n"), f"{prefix}_cumulative_seconds": F.col("_s")}, {k: F.col(k) for k in labels})
+def snapshot(process: DataFrame, table_use: DataFrame, events: DataFrame, config: MetricsConfig | None = None, order: str = "lineNumber", lines: int | None = None, only: Callable[[str], bool] | None = None) -> DataFrame:
+    """All metrics over the given commands and events; ``order`` says which of them is the last.
 
-
-def snapshot(process: DataFrame, table_use: DataFrame, events: DataFrame, config: MetricsConfig | None = None, order: str = "lineNumber", lines: int | None = None) -> DataFrame:
-    """All metrics over the given commands and events; ``order`` says which of them is the last."""
+    ``only`` picks metrics by name; what the others need is not computed.
+    """
     c = config or MetricsConfig()
+    parts: list[DataFrame] = []
+
+    def put(source: Callable[[], DataFrame], values: dict[str, Column], labels: dict[str, Column]) -> None:
+        wanted = {m: v for m, v in values.items() if only is None or only(m)}
+        if wanted:
+            parts.append(_rows(source(), wanted, labels))
+
+    def put_by(source: Callable[[], DataFrame], prefix: str, labels: dict[str, Column]) -> None:
+        """Counter and seconds of the commands in each group."""
+        groups = lambda: source().groupBy(*(v.alias(k) for k, v in labels.items())).agg(F.count("*").alias("_n"), F.sum("completedLapse").alias("_s"))
+        put(groups, {f"{prefix}_counter": F.col("_n"), f"{prefix}_cumulative_seconds": F.col("_s")}, {k: F.col(k) for k in labels})
+
     zero = lambda x: F.coalesce(x, F.lit(0))
     totals = process.agg(F.count("*").alias("n"), F.max(F.struct(order, "running")).alias("last"), F.count_if(F.col("endTime").isNull()).alias("pending"), *(zero(F.sum(v)).alias(m) for m, v in SUMS.items()))
     server = events.agg(F.count("*").alias("events"), F.max(F.struct(order, "activeThreads", *EVENT_GAUGES.values())).alias("event"))
-    both = totals.crossJoin(server)  # one row each
     newer = F.coalesce(F.col(f"event.{order}") > F.col(f"last.{order}"), F.col("event").isNotNull())
     running = zero(F.when(newer, F.col("event.activeThreads")).otherwise(F.col("last.running")))
-    values = {"p4_prom_cmds_processed": F.col("n"), "p4_prom_svr_events_processed": F.col("events"), "p4_prom_cmds_pending": F.col("pending"), "p4_cmd_running": running, "p4_cmds_running": running}
-    values |= {m: zero(F.col(f"event.{v}")) for m, v in EVENT_GAUGES.items()} | {m: F.col(m) for m in SUMS}
+    put(lambda: totals, {m: F.col(m) for m in SUMS}, {})
+    put(lambda: totals, {"p4_prom_cmds_processed": F.col("n"), "p4_prom_cmds_pending": F.col("pending")}, {})
+    put(lambda: server, {"p4_prom_svr_events_processed": F.col("events")} | {m: zero(F.col(f"event.{v}")) for m, v in EVENT_GAUGES.items()}, {})
+    put(lambda: totals.crossJoin(server), {"p4_cmd_running": running, "p4_cmds_running": running}, {})  # one row each
     if lines is not None:
-        values["p4_prom_log_lines_read"] = F.lit(lines)
-    out = _rows(both, values, {})
-    out = out.unionByName(_rows(both, {"p4_prom_build_info": F.lit(1)}, {"version": F.lit(c.version)}))
+        put(lambda: server, {"p4_prom_log_lines_read": F.lit(lines)}, {})
+    put(lambda: server, {"p4_prom_build_info": F.lit(1)}, {"version": F.lit(c.version)})
 
     cmd = {"cmd": F.col("cmd")}
+    put_by(lambda: process, "p4_cmd", cmd)
     cpu = process.groupBy("cmd").agg(F.sum("uCpu").alias("u"), F.sum("sCpu").alias("s"), F.count_if("error").alias("e"))
-    out = out.unionByName(_by(process, "p4_cmd", cmd))
-    out = out.unionByName(_rows(cpu, {"p4_cmd_cpu_user_cumulative_seconds": F.col("u") / 1000, "p4_cmd_cpu_system_cumulative_seconds": F.col("s") / 1000}, cmd))
-    out = out.unionByName(_rows(cpu.where("e > 0"), {"p4_cmd_error_counter": F.col("e")}, cmd))
+    put(lambda: cpu, {"p4_cmd_cpu_user_cumulative_seconds": F.col("u") / 1000, "p4_cmd_cpu_system_cumulative_seconds": F.col("s") / 1000}, cmd)
+    put(lambda: cpu.where("e > 0"), {"p4_cmd_error_counter": F.col("e")}, cmd)
     user = F.lower("user") if c.case_insensitive else F.col("user")
     if c.by_user:
-        out = out.unionByName(_by(process, "p4_cmd_user", {"user": user}))
+        put_by(lambda: process, "p4_cmd_user", {"user": user})
     if c.user_detail:
-        out = out.unionByName(_by(process.where(user.rlike(c.user_detail)), "p4_cmd_user_detail", {"user": user, **cmd}))
+        put_by(lambda: process.where(user.rlike(c.user_detail)), "p4_cmd_user_detail", {"user": user, **cmd})
     if c.by_ip:
-        out = out.unionByName(_by(process, "p4_cmd_ip", {"ip": client_of(F.col("ip"))}))
-    out = out.unionByName(_by(process.where(replica_of(F.col("ip")) != ""), "p4_cmd_replica", {"replica": replica_of(F.col("ip"))}))
-    out = out.unionByName(_by(process, "p4_cmd_program", {"program": program_label(F.col("app"))}))
+        put_by(lambda: process, "p4_cmd_ip", {"ip": client_of(F.col("ip"))})
+    put_by(lambda: process.where(replica_of(F.col("ip")) != ""), "p4_cmd_replica", {"replica": replica_of(F.col("ip"))})
+    put_by(lambda: process, "p4_cmd_program", {"program": program_label(F.col("app"))})
 
     trigger = F.col("tableName").startswith("trigger_")
     tables = table_use.where(~trigger).groupBy("tableName").agg(*((F.sum(v) / 1000).alias(v) for v in TABLE_SECONDS.values()))
-    out = out.unionByName(_rows(tables, {m: F.col(v) for m, v in TABLE_SECONDS.items()}, {"table": F.col("tableName")}))
+    put(lambda: tables, {m: F.col(v) for m, v in TABLE_SECONDS.items()}, {"table": F.col("tableName")})
     lapses = table_use.where(trigger).groupBy(F.substring("tableName", len("trigger_") + 1, 1000).alias("t")).agg(F.sum("triggerLapse").alias("s"))
-    out = out.unionByName(_rows(lapses, {"p4_total_trigger_lapse_seconds": F.col("s")}, {"trigger": F.col("t")}))
+    put(lambda: lapses, {"p4_total_trigger_lapse_seconds": F.col("s")}, {"trigger": F.col("t")})
+    out = reduce(DataFrame.unionByName, parts)
     fixed = {k: v for k, v in (("serverid", c.server_id), ("sdpinst", c.sdp_instance)) if v}
     if fixed:
         pairs = F.create_map(*(F.lit(x) for kv in fixed.items() for x in kv))

@@ -147,19 +147,13 @@ def _flat(rows: DataFrame) -> DataFrame:
     return rows.select("metric", F.array_join(pairs, ",").alias("labels"), F.round("value", 3).alias("value"))
 
 
-def _snapshot(spark: SparkSession, d: str) -> DataFrame:
+def _snapshot(spark: SparkSession, d: str, only: Callable[[str], bool]) -> DataFrame:
     config = metrics.MetricsConfig(user_detail="User1.*", case_insensitive=False)
-    return metrics.snapshot(binding.process(spark, d), binding.table_use(spark, d), binding.events(spark, d), config)
+    return metrics.snapshot(binding.process(spark, d), binding.table_use(spark, d), binding.events(spark, d), config, only=only)
 
 
 def _metric(*prefixes: str) -> Callable[[SparkSession, str], DataFrame]:
-    def query(spark, d):
-        keep = F.lit(False)
-        for p in prefixes:
-            keep = keep | F.col("metric").startswith(p)
-        return _flat(_snapshot(spark, d).where(keep))
-
-    return query
+    return lambda spark, d: _flat(_snapshot(spark, d, lambda m: m.startswith(prefixes)))
 
 
 def _grouped(prefix: str, label: str, by: str, where: str = "true") -> str:
@@ -181,10 +175,11 @@ _add("m76_trigger_lapse", oracle("SELECT 'p4_total_trigger_lapse_seconds' AS met
 _add("m13_totals", oracle(" UNION ALL ".join(f"SELECT '{m}' AS metric, '' AS labels, cast(round(sum({c}), 3) AS double) AS value FROM process" for m, c in metrics.SUMS.items() if not m.startswith("p4_lbr")), "process"))(_metric(*(m for m in metrics.SUMS if not m.startswith("p4_lbr"))))
 _add("m17_lbr_totals", oracle(" UNION ALL ".join(f"SELECT '{m}' AS metric, '' AS labels, cast(sum({c}) AS double) AS value FROM process" for m, c in metrics.SUMS.items() if m.startswith("p4_lbr")), "process"))(_metric("p4_lbr_"))
 _EVENT = " UNION ALL ".join(f"SELECT '{m}' AS metric, '' AS labels, cast(max_by({c}, lineNumber) AS double) AS value FROM svr_events" for m, c in metrics.EVENT_GAUGES.items())
-_add("m10_event_gauges", oracle(_EVENT, "svr_events"))(lambda spark, d: _flat(_snapshot(spark, d).where(F.col("metric").isin(*metrics.EVENT_GAUGES))))
+_add("m10_event_gauges", oracle(_EVENT, "svr_events"))(lambda spark, d: _flat(_snapshot(spark, d, metrics.EVENT_GAUGES.__contains__)))
 _RUNNING = "(SELECT CASE WHEN (SELECT max(lineNumber) FROM svr_events) > (SELECT max(lineNumber) FROM process) THEN (SELECT max_by(activeThreads, lineNumber) FROM svr_events) ELSE (SELECT max_by(running, lineNumber) FROM process) END)"
-_add("m07_counts", oracle(f"SELECT 'p4_prom_cmds_processed' AS metric, '' AS labels, cast(count(*) AS double) AS value FROM process UNION ALL SELECT 'p4_prom_svr_events_processed', '', count(*) FROM svr_events UNION ALL SELECT 'p4_prom_cmds_pending', '', count(*) FROM process WHERE endTime IS NULL UNION ALL SELECT unnest(['p4_cmd_running', 'p4_cmds_running']), '', {_RUNNING}", "process", "svr_events"))(_metric("p4_prom_cmds", "p4_prom_svr", "p4_cmd_running", "p4_cmds_running"))
-QUERIES["m07_counts"] = lambda spark, d: _flat(_snapshot(spark, d).where(F.col("metric").isin("p4_prom_cmds_processed", "p4_prom_svr_events_processed", "p4_prom_cmds_pending", "p4_cmd_running", "p4_cmds_running")))
+_add("m07_counts", oracle(f"SELECT 'p4_prom_cmds_processed' AS metric, '' AS labels, cast(count(*) AS double) AS value FROM process UNION ALL SELECT 'p4_prom_svr_events_processed', '', count(*) FROM svr_events UNION ALL SELECT 'p4_prom_cmds_pending', '', count(*) FROM process WHERE endTime IS NULL UNION ALL SELECT unnest(['p4_cmd_running', 'p4_cmds_running']), '', {_RUNNING}", "process", "svr_events"))(
+    lambda spark, d: _flat(_snapshot(spark, d, {"p4_prom_cmds_processed", "p4_prom_svr_events_processed", "p4_prom_cmds_pending", "p4_cmd_running", "p4_cmds_running"}.__contains__))
+)
 
 
 @_add("m02_historical_ticks")
@@ -198,7 +193,7 @@ def m02(spark, d):
 
 @_add("k04_prometheus_text", oracle("SELECT 'p4_cmd_counter{cmd=\"' || cmd || '\"} ' || count(*) AS line FROM process GROUP BY cmd", "process"))
 def k04(spark, d):
-    return metrics.prometheus_lines(_snapshot(spark, d).where("metric = 'p4_cmd_counter'")).select("line")
+    return metrics.prometheus_lines(_snapshot(spark, d, "p4_cmd_counter".__eq__)).select("line")
 
 
 # Dashboards, over counters by day
