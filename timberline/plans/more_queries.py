@@ -11,6 +11,7 @@ from timberline.functions import scalars
 from timberline.operators.framing import frame
 from timberline.operators.tables import build_tables, parse_log
 from timberline.plans import binding, dashboard, locks, metrics, proxy, rendered
+from timberline.plans import schemas as S
 from timberline.plans.binding import oracle
 from timberline.plans.reports import bucket
 
@@ -89,7 +90,10 @@ def f19(spark, d):
     return binding.process(spark, d).select("processkey", scalars.milliseconds(F.col("completedLapse")).alias("ms"))
 
 
-@_add("f20_humanise")
+_MS = "cast(floor(completedLapse * 1000) AS bigint)"
+
+
+@_add("f20_humanise", oracle(f"SELECT processkey, CASE WHEN s = 0 THEN ms || 'ms' WHEN s >= 3600 THEN s // 3600 || 'h ' || lpad(CAST(s // 60 % 60 AS VARCHAR), 2, '0') || 'm ' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') || 's' WHEN s >= 60 THEN s // 60 || 'm ' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') || 's' ELSE s || 's' END AS lapse FROM (SELECT processkey, {_MS} AS ms, {_MS} // 1000 AS s FROM process)", "process"))
 def f20(spark, d):
     return binding.process(spark, d).select("processkey", scalars.humanise(scalars.milliseconds(F.col("completedLapse"))).alias("lapse"))
 
@@ -99,7 +103,7 @@ def f20(spark, d):
 _C = f"WITH c AS ({rendered.DUCK_COMMANDS}) "
 
 
-@_add("b05_blocks", _C + f"SELECT log_id, place * {rendered.LINES} + 3 * i + 1 AS line_no, 'info' AS btype, CASE WHEN i = 3 THEN 6 ELSE 1 END AS n FROM c, (SELECT unnest(range(4)) AS i)")
+@_add("b05_blocks", _C + f"SELECT log_id, place * {rendered.LINES} + 3 * i + 1 AS line_no, 'info' AS btype, CASE WHEN i = 3 THEN 14 ELSE 1 END AS n FROM c, (SELECT unnest(range(4)) AS i)")
 def b05(spark, d):
     return frame(rendered.lines(spark, d)).select("log_id", "line_no", "btype", F.size("lines").alias("n"))
 
@@ -139,6 +143,35 @@ def c02(spark, d):
     return build_tables(parse_log(rendered.lines(spark, d))).table_use.select("log_id", "processkey", "lineNumber", "tableName", "readLocks", "writeLocks", "totalReadWait", "totalReadHeld", "totalWriteWait", "totalWriteHeld")
 
 
+_LBR = [f"lbr{k}{c}" for k in S.LBR_KINDS for c in ("Opens", "ReadBytes", "WriteBytes", "Copies")]
+
+
+def _duck_lbr(column: str) -> str:
+    kind = next(k for k in S.LBR_KINDS if column.startswith(f"lbr{k}") and column[3 + len(k)].isupper())
+    value = {"Opens": "k % 41", "ReadBytes": "cast(floor((k % 46 + 0.5) * 1024) AS bigint)", "WriteBytes": "(k % 48) * 1048576", "Copies": "k % 54"}[column[3 + len(kind) :]]
+    return f"CASE WHEN kind = '{kind}' THEN {value} ELSE 0 END AS {column}"
+
+
+@_add("t10_command_tracking", _C + "SELECT k AS pid, k % 300 AS memMB, k % 400 AS memPeakMB, k % 21 AS rpcMsgsIn, k % 24 AS rpcSizeOut, k % 26 AS rpcHimarkRev, round((100 + k % 900) / 1000.0e0, 3) AS rpcSnd, cast(k % 27 AS double) AS rpcRcv, k % 31 AS fileTotalsSnd, k % 32 AS fileTotalsSndMB, k % 33 AS fileTotalsRcv, k % 34 AS fileTotalsRcvMB FROM c")
+def t10(spark, d):
+    rows = build_tables(parse_log(rendered.lines(spark, d))).process
+    return rows.select("pid", "memMB", "memPeakMB", "rpcMsgsIn", "rpcSizeOut", "rpcHimarkRev", F.round("rpcSnd", 3).alias("rpcSnd"), "rpcRcv", "fileTotalsSnd", "fileTotalsSndMB", "fileTotalsRcv", "fileTotalsRcvMB")
+
+
+@_add("t15_librarian", _C + f"SELECT k AS pid, {', '.join(map(_duck_lbr, _LBR))} FROM c")
+def t15(spark, d):
+    return build_tables(parse_log(rendered.lines(spark, d))).process.select("pid", *_LBR)
+
+
+_LAST = "coalesce(last_value(CASE WHEN lineNumber % 3 = {0} THEN {1} END IGNORE NULLS) OVER (PARTITION BY lineNumber % 16 ORDER BY lineNumber), 0)"
+
+
+@_add("e06_server_events", oracle("SELECT concat('log', lineNumber % 16) AS log_id, lineNumber * 2 + 1 AS lineNumber, eventTime, " + ", ".join(f"{_LAST.format(i, v)} AS {a}" for i, v, a in ((0, "lineNumber % 200", "activeThreads"), (1, "lineNumber % 30", "pausedThreads"), (2, "pauseRateCPU", "pauseRateCPU"), (2, "memPressureState", "memPressureState"))) + " FROM svr_events", "svr_events"))
+def e06(spark, d):
+    rows = build_tables(parse_log(rendered.event_lines(spark, d))).events
+    return rows.select("log_id", "lineNumber", "eventTime", "activeThreads", "pausedThreads", "pauseRateCPU", "memPressureState")
+
+
 # Metrics
 
 
@@ -182,7 +215,14 @@ _add("m07_counts", oracle(f"SELECT 'p4_prom_cmds_processed' AS metric, '' AS lab
 )
 
 
-@_add("m02_historical_ticks")
+_TICKS = """SELECT * FROM (WITH RECURSIVE secs AS (SELECT DISTINCT epoch(startTime)::bigint AS s FROM process), t AS (
+  SELECT min(s) AS tick FROM secs UNION ALL SELECT (SELECT min(s) FROM secs WHERE s >= t.tick + 864000) FROM t WHERE t.tick IS NOT NULL
+), spans AS (SELECT tick, coalesce(lag(tick) OVER (ORDER BY tick), -1) AS after FROM t WHERE tick IS NOT NULL),
+e AS (SELECT cmd, tick, count(*) AS c FROM process JOIN spans ON epoch(startTime)::bigint > after AND epoch(startTime)::bigint <= tick GROUP BY ALL)
+SELECT 'log' AS log_id, cmd, tick, cast(sum(c) OVER (PARTITION BY cmd ORDER BY tick) AS bigint) AS n FROM e)"""
+
+
+@_add("m02_historical_ticks", oracle(_TICKS, "process"))
 def m02(spark, d):
     """Counter of each command at ten-day ticks."""
     rows = binding.process(spark, d).select(F.lit("log").alias("log_id"), F.col("startTime").alias("ts"), "cmd")
