@@ -53,14 +53,42 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def map_arrow(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], schema: str, every: int = 2000) -> DataFrame:
-    """``mapInArrow`` for functions that yield one dict per output row; at most ``every`` rows make a batch."""
+#: Texts are long; batches of this many rows bound what the JVM and a worker hold of them at once.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows, unless the session already asks for fewer than its default."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(setting)) > BATCH_ROWS:
+        spark.conf.set(setting, str(BATCH_ROWS))
+
+
+_OF_WORKER: dict = {}
+
+
+def for_worker(key, make: Callable):
+    """What this worker keeps between tasks, made on first use: one thing at a time, so that operators do not add up."""
+    if key not in _OF_WORKER:
+        _OF_WORKER.clear()
+        _OF_WORKER[key] = make()
+    return _OF_WORKER[key]
+
+
+def map_arrow(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], schema: str, every: int = 2000, keeps: bool = False) -> DataFrame:
+    """``mapInArrow`` for functions that yield one dict per output row; at most ``every`` rows make a batch.
+
+    Unless the function ``keeps`` something in its worker, what another one kept there goes first.
+    """
+    small_batches(df.sparkSession)
     spark_schema = _parsed(df.sparkSession, schema)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(spark_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            _OF_WORKER.clear()
         yield from as_batches(rows(batches), arrow, every)
 
     return df.mapInArrow(run, spark_schema)
@@ -93,7 +121,10 @@ def texts_of(batch: pa.RecordBatch, column: str, step: int = 256) -> Iterator[tu
 def filter_rows(df: DataFrame, keep: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, list[bool]]]]) -> DataFrame:
     """The rows of ``df`` that ``keep`` marks, with all their columns as they are; nothing shuffles."""
 
+    small_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _OF_WORKER.clear()
         for batch, mask in keep(batches):
             yield batch if all(mask) else batch.filter(pa.array(mask, pa.bool_()))
 

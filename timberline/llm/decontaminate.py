@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import filter_rows, map_arrow, texts_of
+from timberline.llm.common import filter_rows, for_worker, map_arrow, texts_of
 
 #: Consecutive words of a window.
 WINDOW = 10
@@ -109,17 +109,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     return out.withColumnRenamed("_id", id_col).withColumnRenamed("_text", text_col)
 
 
-_SCANNERS: dict[str, Scanner] = {}
-
-
 def _scanned(df: DataFrame, items: list[tuple[str, str | None]], kind: str, size: int, last: bool, keep_text: bool) -> DataFrame:
     name = hashlib.sha256(repr((size, sorted(items, key=repr))).encode()).hexdigest()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        if name not in _SCANNERS:  # a worker serves many tasks; it builds the automaton once
-            _SCANNERS.clear()
-            _SCANNERS[name] = Scanner(items, size)
-        scanner = _SCANNERS[name]
+        scanner = for_worker(("scanner", name), lambda: Scanner(items, size))
         for batch in batches:
             ids, before, owned = (batch.column(i).to_pylist() for i in (0, 3, 4))
             for at, texts in texts_of(batch, "_text"):
@@ -138,9 +132,9 @@ def _scanned(df: DataFrame, items: list[tuple[str, str | None]], kind: str, size
                     yield row
 
     if not last:
-        return map_arrow(df, rows, f"_id {kind}, _text string, n_words bigint, _ranges array<int>, items array<string>", 500)
+        return map_arrow(df, rows, f"_id {kind}, _text string, n_words bigint, _ranges array<int>, items array<string>", 500, keeps=True)
     schema = f"_id {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>"
-    return map_arrow(df, rows, schema + ", _text string" * keep_text, 500)
+    return map_arrow(df, rows, schema + ", _text string" * keep_text, 500, keeps=True)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", size: int = WINDOW) -> DataFrame:

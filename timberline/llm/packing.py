@@ -99,7 +99,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
                         yield {"_id": numbers[i], "start": start, "length": length, "ids_crc32": zlib.crc32(raw[4 * start : 4 * (start + length)]), "doc_tokens": total}
 
     narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return map_arrow(narrow, rows, f"_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint", 5000)
+    return map_arrow(narrow, rows, f"_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint", 5000, keeps=True)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

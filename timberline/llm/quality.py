@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import Scratch, map_arrow
+from timberline.llm.common import Scratch, map_arrow, small_batches
 
 ORDER = 4
 #: Bytes of text in a chunk (a longer text is a chunk of its own).
@@ -72,6 +72,7 @@ def count_ngrams(texts: DataFrame, text_col: str = "text") -> DataFrame:
         if held:
             yield counted()
 
+    small_batches(texts.sparkSession)
     part = texts.select(text_col).mapInArrow(rows, "g bigint, c bigint")
     return part.groupBy("g").agg(F.sum("c").alias("c"))
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import Scratch, map_arrow, texts_of
+from timberline.llm.common import Scratch, map_arrow, small_batches, texts_of
 
 KINDS = ("assign", "access", "hex")
 GRAMMAR = "grammar"
@@ -262,6 +262,7 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     too, stay as they are.
     """
     model = train_model(Scratch(docs.sparkSession, "redact").keep(scan_patterns(docs, id_col, text_col), "scanned"))
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     size_at = docs.columns.index(size_col) if size_col in docs.columns else None
 

@@ -158,7 +158,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
         if held:
             yield {"section": encode_section(held_docs, held)}
 
-    sections = map_arrow(ordered, rows, "section binary", 1)
+    sections = map_arrow(ordered, rows, "section binary", 1, keeps=True)
     sections.select(F.col("section").cast("string").alias("value")).write.mode("overwrite").text(path)
 
 

@@ -14,8 +14,10 @@ from array import array
 
 import numpy as np
 
+from timberline.llm.common import for_worker
+
 #: Chunks in one generation of a worker's memo; when it is full, it becomes the old generation.
-MEMO_CHUNKS = 500_000
+MEMO_CHUNKS = 400_000
 #: Longer chunks are encoded each time rather than held.
 MEMO_CHUNK_CHARS = 64
 #: Chunks that the library gets at once, joined by the separator.
@@ -176,11 +178,6 @@ class ChunkEncoder:
         return out
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
     """This worker's encoder for a tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    return for_worker(("tokens", path), lambda: ChunkEncoder(path))
