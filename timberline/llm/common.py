@@ -75,6 +75,11 @@ def for_worker(key, make: Callable):
     return _OF_WORKER[key]
 
 
+def release_worker() -> None:
+    """Drops what this worker keeps. (A call by name: functions that Spark ships get copies of globals.)"""
+    _OF_WORKER.clear()
+
+
 def map_arrow(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], schema: str, every: int = 2000, keeps: bool = False) -> DataFrame:
     """``mapInArrow`` for functions that yield one dict per output row; at most ``every`` rows make a batch.
 
@@ -88,7 +93,7 @@ def map_arrow(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterable
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not keeps:
-            _OF_WORKER.clear()
+            release_worker()
         yield from as_batches(rows(batches), arrow, every)
 
     return df.mapInArrow(run, spark_schema)
@@ -124,7 +129,7 @@ def filter_rows(df: DataFrame, keep: Callable[[Iterator[pa.RecordBatch]], Iterat
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _OF_WORKER.clear()
+        release_worker()
         for batch, mask in keep(batches):
             yield batch if all(mask) else batch.filter(pa.array(mask, pa.bool_()))
 
