@@ -26,6 +26,8 @@ JOINED = 20_000
 #: Characters whose role as white space, or in normalisation across a chunk's edge, could differ between libraries:
 #: all but printable ASCII, tab, newline, carriage return, letters of Latin, Greek and Cyrillic, and common punctuation.
 _UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-ʯͰ-҂Ҋ-ԯ‐-‧‰-⁞₠-₿]")
+#: The bytes of Latin-1 that are not unusual, for a quick test of most texts.
+_PLAIN = bytes(c for c in range(256) if not _UNUSUAL.match(chr(c)))
 #: White space that is not a single space or newline between other characters.
 _UNEVEN = re.compile(r"[ \n][ \n]|[\t\r]|[ \n]\Z")
 _LETTERS = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
@@ -83,9 +85,16 @@ class ChunkEncoder:
                 return f" {mark} ", ids[1]
         raise ValueError("no symbol is a single token")
 
+    @staticmethod
+    def _is_plain(text: str) -> bool:
+        try:
+            return not text.encode("latin-1").translate(None, _PLAIN)
+        except UnicodeEncodeError:
+            return not _UNUSUAL.search(text)
+
     def _keys(self, text: str) -> list[str] | None:
         """The text's chunks by their memo keys; None if it must be encoded whole."""
-        if _UNUSUAL.search(text) or any(s in text for s in self.special):
+        if not self._is_plain(text) or any(s in text for s in self.special):
             return None
         if not self.keeps_space:
             return text.split()
