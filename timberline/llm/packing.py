@@ -23,6 +23,8 @@ from timberline.llm.common import Scratch, map_arrow, texts_of
 from timberline.llm.tokens import encoder
 
 SEQUENCE = 1024
+#: Chunks in one generation of the encoder's memo; packing follows other stages in the same executors, so it takes less.
+MEMO_CHUNKS = 250_000
 
 
 def pack_histogram(counts: dict[int, int], capacity: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
@@ -86,7 +88,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
     kind = docs.schema[id_col].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, MEMO_CHUNKS).encode
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             numbers = batch.column(0).to_pylist()

@@ -49,9 +49,11 @@ _BYTE_LETTERS = _byte_letters()
 class ChunkEncoder:
     """Encodes texts with the tokenizer in ``path``; ``special`` strings in a text keep their special ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_chunks: int = MEMO_CHUNKS):
         import os
 
+        self.memo_chunks = memo_chunks
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -181,12 +183,12 @@ class ChunkEncoder:
             if None in f:
                 f = [new[c] if ids is None else ids for c, ids in zip(k, f, strict=True)]
             out.append(np.frombuffer(b"".join(f), self.dtype))
-        if len(self.young) + len(new) > MEMO_CHUNKS:
+        if len(self.young) + len(new) > self.memo_chunks:
             self.old, self.young = self.young, {}
         self.young.update((c, ids) for c, ids in new.items() if len(c) <= MEMO_CHUNK_CHARS)
         return out
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, memo_chunks: int = MEMO_CHUNKS) -> ChunkEncoder:
     """This worker's encoder for a tokenizer file."""
-    return for_worker(("tokens", path), lambda: ChunkEncoder(path))
+    return for_worker(("tokens", path), lambda: ChunkEncoder(path, memo_chunks))
