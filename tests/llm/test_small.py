@@ -460,6 +460,28 @@ def test_perplexity_equals_the_definition(spark, docs, nothing):
     assert judge_quality(nothing, labels).count() == 0
 
 
+def test_quality_cut_is_the_quantile_of_each_language(spark):
+    from timberline.llm.quality import QUANTILE, judge_quality
+
+    rng = random.Random(12)
+    words = {"aa": ["banana", "aroma", "panama", "salsa"], "bb": ["whisky", "rhythm", "shrink", "myth"]}
+    letters = {lang: sorted(set("".join(w))) for lang, w in words.items()}
+    rows = []
+    for lang in words:
+        for i in range(200):
+            # One word in twelve has its letters dealt at random, so that perplexities lie close together.
+            make = lambda: rng.choice(words[lang]) if rng.random() < 11 / 12 else "".join(rng.choice(letters[lang]) for _ in range(5))  # noqa: B023, E731
+            rows.append((len(rows), " ".join(make() for _ in range(40)), lang))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(len(rows))], "doc_id bigint, quality int, toxic int")
+    judged = judge_quality(df, labels).collect()
+    for lang in words:
+        own = sorted(r["perplexity"] for r in judged if r["lang"] == lang)
+        cut = own[math.ceil(QUANTILE * len(own)) - 1]
+        assert {r["threshold"] for r in judged if r["lang"] == lang} == {cut} and cut < own[-1]
+        assert sorted(r["perplexity"] for r in judged if r["lang"] == lang and not r["kept"]) == [x for x in own if x > cut]
+
+
 # Pipeline
 
 

@@ -24,8 +24,8 @@ from timberline.llm.common import Scratch, map_arrow, small_batches
 ORDER = 4
 #: Bytes of text in a chunk (a longer text is a chunk of its own).
 CHUNK = 8 << 20
-#: A document is kept if its perplexity is at most this quantile of its language's trusted documents, times the slack.
-QUANTILE, SLACK = 0.995, 1.1
+#: A document is kept if its perplexity is at most this quantile of its language's trusted documents; chosen on held-out labels (README).
+QUANTILE = 0.985
 UNKNOWN = "und"
 
 
@@ -248,7 +248,7 @@ def _texts_of_ids(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -
     return narrow.mapInArrow(rows, "id bigint, text string").join(ids.hint("merge"), "id").select("text")
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
     """Returns (id, lang, n_bytes, perplexity, threshold, kept), a row per document.
 
     Trusted are documents labelled quality 1 and toxic 0 (null labels are not; of several labels the worst
@@ -261,7 +261,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     trusted = scratch.keep(trusted, "trusted")
     scored = scratch.keep(perplexities(docs, trusted, id_col, text_col, lang_col), "scored")
     good = scored.where("perplexity is not null").join(trusted, id_col)
-    cut = F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000)) * slack
+    cut = F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000))
     by_lang = scratch.keep(good.groupBy("lang").agg(cut.alias("own")), "by_lang")
     overall = good.agg(cut.alias("c")).first()["c"]
     threshold = F.coalesce(F.col("own"), F.lit(overall).cast("double"), F.lit(float("inf")))
