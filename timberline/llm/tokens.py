@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -29,9 +30,11 @@ _UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-ʯͰ-҂Ҋ-ԯ‐-‧‰-⁞
 #: The bytes of Latin-1 that are not unusual, for a quick test of most texts.
 _PLAIN = bytes(c for c in range(256) if not _UNUSUAL.match(chr(c)))
 #: White space that is not a single space or newline between other characters.
-_UNEVEN = re.compile(r"[ \n][ \n]|[\t\r]|[ \n]\Z")
+_UNEVEN = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
 _LETTERS = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 _MARKS = frozenset(".,;:!?")
+#: A key that is letters, perhaps after a sign for what precedes them and before one mark.
+_WORD = re.compile(f"([\n\r]?)({_LETTERS.pattern})([.,;:!?]?)")
 #: Keys of chunks with no space before them begin with this.
 _BARE = "\r"
 
@@ -100,7 +103,7 @@ class ChunkEncoder:
             return None
         if not self.keeps_space:
             return text.split()
-        if _UNEVEN.search(text):
+        if text[-1:] in (" ", "\n") or any(s in text for s in _UNEVEN):
             return [c[1:] if c[0] == " " and len(c) > 1 and c[1] not in " \t\n\r" else _BARE + c for c in self.uneven(text)]
         # A chunk starts at each space, which its key leaves out, or newline, which it keeps.
         keys = text.replace("\n", " \n").split(" ")
@@ -116,22 +119,13 @@ class ChunkEncoder:
             return key
         return key[1:] if key[0] == _BARE else key if key[0] == "\n" else " " + key
 
-    def _library(self, keys: set[str]) -> dict[str, bytes]:
-        """What the library makes of each key's text: letters by the model itself, the rest joined to long texts."""
-        out: dict[str, bytes] = {}
+    def _joined(self, keys: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each key with what the library makes of its text; the texts go to the library joined to long ones."""
         joinable = []
-        letters, tokenize, code = _LETTERS.fullmatch, self.model.tokenize, self.code
-        space = _BYTE_LETTERS[32] if self.keeps_space else ""
         for key in keys:
-            bare = key[0] == _BARE
-            if letters(key, 1 if bare else 0):
-                word = key[1:] if bare else key
-                word = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
-                out[key] = array(code, [t.id for t in tokenize(word if bare else space + word)]).tobytes()
-                continue
             form = self._form(key)
             if (self.separator.strip() or "\n") in form or form.isspace():
-                out[key] = self._bytes(self._plain(form))
+                yield key, self._bytes(self._plain(form))
             else:
                 joinable.append(key)
         for at in range(0, len(joinable), JOINED):
@@ -141,51 +135,59 @@ class ChunkEncoder:
             if len(cuts) == len(part) + 1:
                 raw, size = ids.tobytes(), self.dtype.itemsize
                 edges = (cuts * size).tolist()
-                out.update((c, raw[a + size : b]) for c, a, b in zip(part, edges, edges[1:], strict=False))
+                yield from ((c, raw[a + size : b]) for c, a, b in zip(part, edges, edges[1:], strict=False))
             else:
-                out.update((c, self._bytes(self._plain(self._form(c)))) for c in part)
-        return out
+                yield from ((c, self._bytes(self._plain(self._form(c)))) for c in part)
 
-    def _split(self, key: str) -> tuple[bytes, str, bytes]:
-        """Ids before, a key without them, and ids after: a newline and a final mark are tokens by themselves."""
-        before = after = b""
-        if key[0] == "\n" and len(key) > 1 and self.keeps_space and "\n" not in key[1:]:
-            before, key = self.newline, _BARE + key[1:]
-        stem = key[:-1]
-        if key[-1] in _MARKS and stem and _LETTERS.fullmatch(stem, 1 if stem[0] == _BARE else 0):
-            key, after = stem, self.marks[key[-1]]
-        if self.lowers and _LETTERS.fullmatch(key):
-            key = key.lower()
-        return before, key, after
-
-    def _new(self, missing: set[str]) -> dict[str, bytes]:
+    def _learn(self, missing: set[str]) -> None:
+        """Puts the ids of all the keys into the young generation.
+
+        Letters go to the library's model itself, once for all the keys that differ in what is around them: a
+        newline before them and a mark after them are tokens by themselves.
+        """
         young, old = self.young, self.old
-        out = {c: old[c] for c in missing & old.keys()}
-        parts = {c: self._split(c) for c in missing - out.keys()}
-        cores = {p[1] for p in parts.values()}
-        known = {c: ids for c in cores if (ids := young.get(c) or out.get(c) or old.get(c)) is not None}
-        known.update(self._library(cores - known.keys()))
-        out.update(known)
-        out.update((c, before + known[core] + after) for c, (before, core, after) in parts.items())
-        return out
+        if old:
+            again = missing & old.keys()
+            young.update((c, old[c]) for c in again)
+            missing = missing - again
+        word_of, tokenize, code, marks, lowers = _WORD.fullmatch, self.model.tokenize, self.code, self.marks, self.lowers
+        space, newline, others = _BYTE_LETTERS[32] if self.keeps_space else "", self.newline, []
+        for key in missing:
+            m = word_of(key)
+            if not m:
+                others.append(key)
+                continue
+            lead, word, mark = m.groups()
+            core = word.lower() if lowers else _BARE + word if lead else word
+            ids = young.get(core) or old.get(core)
+            if ids is None:
+                letters = core.lstrip(_BARE)
+                letters = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                ids = array(code, [t.id for t in tokenize(letters if lead else space + letters)]).tobytes()
+            if core is key or len(key) <= MEMO_CHUNK_CHARS:
+                young[core] = ids
+            if core is not key:
+                young[key] = (newline if lead == "\n" else b"") + ids + (marks[mark] if mark else b"")
+        # A newline before a chunk that is no word is a token by itself too.
+        bare = {c: _BARE + c[1:] for c in others if c[0] == "\n" and len(c) > 1 and "\n" not in c[1:]}
+        young.update(self._joined([c for c in {bare.get(c, c) for c in others} if c not in young]))
+        young.update((c, newline + young[b]) for c, b in bare.items())
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as an array of ``dtype``."""
-        keys = [self._keys(t) for t in texts]
-        found = [None if k is None else list(map(self.young.get, k)) for k in keys]
-        missing = {c for k, f in zip(keys, found, strict=True) if f and None in f for c, ids in zip(k, f, strict=True) if ids is None}
-        new = self._new(missing) if missing else {}
-        out = []
-        for text, k, f in zip(texts, keys, found, strict=True):
-            if f is None:
-                out.append(np.array(self._plain(text), self.dtype))
-                continue
-            if None in f:
-                f = [new[c] if ids is None else ids for c, ids in zip(k, f, strict=True)]
-            out.append(np.frombuffer(b"".join(f), self.dtype))
-        if len(self.young) + len(new) > self.memo_chunks:
+        if len(self.young) > self.memo_chunks:
             self.old, self.young = self.young, {}
-        self.young.update((c, ids) for c, ids in new.items() if len(c) <= MEMO_CHUNK_CHARS)
+        keys = [self._keys(t) for t in texts]
+        wanted = set().union(*(k for k in keys if k))
+        missing = wanted.difference(self.young)
+        if missing:
+            self._learn(missing)
+        ids_of, dtype = self.young.__getitem__, self.dtype
+        out = [np.array(self._plain(t), dtype) if k is None else np.frombuffer(b"".join(map(ids_of, k)), dtype) for t, k in zip(texts, keys, strict=True)]
+        for c in missing:
+            if len(c) > MEMO_CHUNK_CHARS:
+                self.young.pop(c)
+                self.young.pop(_BARE + c[1:], None)
         return out
 
 
