@@ -1,13 +1,14 @@
 """Token ids by the tokenizers library, with a bounded memo of what chunks of text encode to.
 
 The two BPE vocabularies cut a text at white space, and letters from punctuation, before any merge; so a text's
-ids are those of its chunks in order. Each distinct chunk is encoded once per worker by the library (a
-chunk of letters and one punctuation mark as its two parts). Texts in which that could fail
+ids are those of its chunks in order: words, the marks after them, and what else stands between spaces. Each
+distinct chunk is encoded once per worker by the library. Texts in which that could fail
 (special-token strings, unusual spaces, control characters or scripts) are encoded whole.
 """
 
 from __future__ import annotations
 
+import gc
 import re
 import unicodedata
 from array import array
@@ -32,9 +33,10 @@ _PLAIN = bytes(c for c in range(256) if not _UNUSUAL.match(chr(c)))
 #: White space that is not a single space or newline between other characters.
 _UNEVEN = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
 _LETTERS = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
-_MARKS = frozenset(".,;:!?")
-#: A key that is letters, perhaps after a sign for what precedes them and before one mark.
-_WORD = re.compile(f"([\n\r]?)({_LETTERS.pattern})([.,;:!?]?)")
+#: A mark between a letter and a space is a token by itself.
+_MARK = re.compile(rf"[.,;:!?](?<={_LETTERS.pattern[:-1]}.)(?=[ \n]|\Z)")
+#: A key that is letters, with or without the sign that no space precedes them.
+_WORD = re.compile(f"(\r?)({_LETTERS.pattern})")
 #: Keys of chunks with no space before them begin with this.
 _BARE = "\r"
 
@@ -70,8 +72,6 @@ class ChunkEncoder:
         self.uneven = re.compile(r" ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+").findall
         self.separator, self.separator_id = ("\n", self._plain("\n")[0]) if self.keeps_space else self._rare()
         self.lowers = self._plain("A") == self._plain("a")
-        self.newline = self._bytes(self._plain("\n"))
-        self.marks = {m: self._bytes(self._plain(f"a{m}")[1:]) for m in _MARKS}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -90,23 +90,20 @@ class ChunkEncoder:
                 return f" {mark} ", ids[1]
         raise ValueError("no symbol is a single token")
 
-    @staticmethod
-    def _is_plain(text: str) -> bool:
-        try:
-            return not text.encode("latin-1").translate(None, _PLAIN)
-        except UnicodeEncodeError:
-            return not _UNUSUAL.search(text)
-
     def _keys(self, text: str) -> list[str] | None:
         """The text's chunks by their memo keys; None if it must be encoded whole."""
-        if not self._is_plain(text) or any(s in text for s in self.special):
+        try:
+            plain, latin = not text.encode("latin-1").translate(None, _PLAIN), True
+        except UnicodeEncodeError:
+            plain, latin = not _UNUSUAL.search(text), False
+        if not plain or any(s in text for s in self.special):
             return None
         if not self.keeps_space:
-            return text.split()
+            return _MARK.sub(r" \g<0>", text.lower() if self.lowers and latin else text).split()
         if text[-1:] in (" ", "\n") or any(s in text for s in _UNEVEN):
             return [c[1:] if c[0] == " " and len(c) > 1 and c[1] not in " \t\n\r" else _BARE + c for c in self.uneven(text)]
-        # A chunk starts at each space, which its key leaves out, or newline, which it keeps.
-        keys = text.replace("\n", " \n").split(" ")
+        # A space belongs to the chunk after it, whose key leaves it out; a newline is a chunk by itself.
+        keys = _MARK.sub(" \r\\g<0>", text).replace("\n", " \n \r").split(" ")
         if keys[0]:
             keys[0] = _BARE + keys[0]
         else:
@@ -140,38 +137,23 @@ class ChunkEncoder:
                 yield from ((c, self._bytes(self._plain(self._form(c)))) for c in part)
 
     def _learn(self, missing: set[str]) -> None:
-        """Puts the ids of all the keys into the young generation.
-
-        Letters go to the library's model itself, once for all the keys that differ in what is around them: a
-        newline before them and a mark after them are tokens by themselves.
-        """
+        """Puts the ids of all the keys into the young generation; words go to the library's model itself."""
         young, old = self.young, self.old
         if old:
             again = missing & old.keys()
             young.update((c, old[c]) for c in again)
             missing = missing - again
-        word_of, tokenize, code, marks, lowers = _WORD.fullmatch, self.model.tokenize, self.code, self.marks, self.lowers
-        space, newline, others = _BYTE_LETTERS[32] if self.keeps_space else "", self.newline, []
+        word_of, tokenize, code, others = _WORD.fullmatch, self.model.tokenize, self.code, []
+        space = _BYTE_LETTERS[32] if self.keeps_space else ""
         for key in missing:
-            m = word_of(key)
-            if not m:
+            if m := word_of(key):
+                bare, word = m.groups()
+                word = word.lower() if self.lowers else word
+                word = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                young[key] = array(code, [t.id for t in tokenize(word if bare else space + word)]).tobytes()
+            else:
                 others.append(key)
-                continue
-            lead, word, mark = m.groups()
-            core = word.lower() if lowers else _BARE + word if lead else word
-            ids = young.get(core) or old.get(core)
-            if ids is None:
-                letters = core.lstrip(_BARE)
-                letters = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_BYTE_LETTERS)
-                ids = array(code, [t.id for t in tokenize(letters if lead else space + letters)]).tobytes()
-            if core is key or len(key) <= MEMO_CHUNK_CHARS:
-                young[core] = ids
-            if core is not key:
-                young[key] = (newline if lead == "\n" else b"") + ids + (marks[mark] if mark else b"")
-        # A newline before a chunk that is no word is a token by itself too.
-        bare = {c: _BARE + c[1:] for c in others if c[0] == "\n" and len(c) > 1 and "\n" not in c[1:]}
-        young.update(self._joined([c for c in {bare.get(c, c) for c in others} if c not in young]))
-        young.update((c, newline + young[b]) for c, b in bare.items())
+        young.update(self._joined(others))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as an array of ``dtype``."""
@@ -186,11 +168,14 @@ class ChunkEncoder:
         out = [np.array(self._plain(t), dtype) if k is None else np.frombuffer(b"".join(map(ids_of, k)), dtype) for t, k in zip(texts, keys, strict=True)]
         for c in missing:
             if len(c) > MEMO_CHUNK_CHARS:
-                self.young.pop(c)
-                self.young.pop(_BARE + c[1:], None)
+                del self.young[c]
         return out
 
 
 def encoder(path: str, memo_chunks: int = MEMO_CHUNKS) -> ChunkEncoder:
-    """This worker's encoder for a tokenizer file."""
+    """This worker's encoder for a tokenizer file.
+
+    Encoding makes many short-lived lists and no cycles, so the worker collects garbage less often from here on.
+    """
+    gc.set_threshold(200_000)
     return for_worker(("tokens", path), lambda: ChunkEncoder(path, memo_chunks))
