@@ -5,8 +5,9 @@
 3. Inverted lists of the retained (k smallest) hashes generate pairs. A link shares at least T of the k smallest
    hashes of the union, so it suffices that each class enters the lists of its k - T + 1 rarest ones.
 4. Pairs from short lists are filtered by the estimate from the union's sketch, then verified on full sets.
-   Long lists are cut into blocks; each pair of blocks is compared exactly by one matrix product, and
-   only a spanning forest of its links leaves the task, so a group of copies never becomes a list of all pairs.
+   In long lists each member is verified against a few pivots first, and what these link is contracted. Only
+   members of different components are compared further: in blocks, by one exact matrix product for a pair of
+   blocks, of which only a spanning forest leaves the task. So a group of copies costs as much as it has members.
 5. Links are contracted to components by alternating stars.
 
 T comes from the binomial tail: at the threshold similarity a pair shares fewer than T with a probability of at
@@ -37,6 +38,8 @@ FIRST_K, LIST_K, ESTIMATE_K = 32, 256, 64
 MISS = 1e-10
 #: Lists with more classes are compared in blocks of about BLOCK classes and BLOCK_HASHES hashes.
 LONG_LIST, BLOCK, BLOCK_HASHES = 40, 400, 131_072
+#: Members of a long list that all others are verified against first, and pairs of one pivot for each copy of its set.
+PIVOTS, PIVOT_PAIRS = 3, 500
 #: Bits of the Bloom filter for classes whose sets are wanted; at most this many, whatever the input.
 BLOOM_BITS = 1 << 27
 
@@ -120,20 +123,24 @@ def shared_at_least(n, k: int, percent: int = PERCENT):
     return F.when(n <= k, F.greatest(exact, F.lit(1))).otherwise(F.lit(fewest_shared(k, percent))).cast("int")
 
 
+def fingerprint(found: np.ndarray) -> bytes:
+    """128 bits that stand for the set."""
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+
+
 def sketch_documents(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, n, cls, sketch): set size, a fingerprint of the set, and its FIRST_K smallest hashes."""
+    """(id, key, n, cls, sketch): a hash of the text, set size, a fingerprint of the set, and its FIRST_K smallest hashes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
+            ids, keys = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for at, texts in texts_of(batch, "_text"):
                 for i, text in enumerate(texts, at):
                     found = shingle_set(text, size)
-                    cls = int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
-                    yield {"_id": ids[i], "n": len(found), "cls": cls, "sketch": found[:FIRST_K].tolist()}
+                    yield {"_id": ids[i], "key": keys[i], "n": len(found), "cls": fingerprint(found), "sketch": found[:FIRST_K].tolist()}
 
-    narrow = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
-    return map_arrow(narrow, rows, "_id bigint, n bigint, cls bigint, sketch array<bigint>", 2000)
+    narrow = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(F.col(text_col)).alias("_key"))
+    return map_arrow(narrow, rows, "_id bigint, key bigint, n bigint, cls binary, sketch array<bigint>", 2000)
 
 
 def _candidates(reps: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
@@ -179,12 +186,11 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, scratch: Scratch, id_col: str,
             for i in np.flatnonzero(hit).tolist():
                 found = shingle_set(batch.column(1)[i].as_py(), size)
                 if len(found):
-                    cls = int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
-                    yield {"rep": batch.column(0)[i].as_py(), "cls": cls, "n": len(found), "hashes": found.tolist()}
+                    yield {"rep": batch.column(0)[i].as_py(), "cls": fingerprint(found), "n": len(found), "hashes": found.tolist()}
 
     ids = F.col(id_col).cast("bigint")
     narrow = docs.where(F.col(id_col).isNotNull()).select(ids.alias("rep"), F.col(text_col).alias("_text"), *(p.alias(f"_p{i}") for i, p in enumerate(_bloom_places(ids, bits))))
-    found = map_arrow(narrow, rows, "rep bigint, cls bigint, n bigint, hashes array<bigint>", 200)
+    found = map_arrow(narrow, rows, "rep bigint, cls binary, n bigint, hashes array<bigint>", 200)
     # A repeated id has a set for each of its texts; its class's text is the one that counts.
     return scratch.keep(found.join(wanted, "rep"), "sets")
 
@@ -210,7 +216,11 @@ def _short_links(listed: DataFrame, sets: DataFrame, scratch: Scratch, percent:
     pairs = scratch.keep(a.join(b, "v").where((F.col("a") < F.col("b")) & _alike_sizes(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct(), "pairs")
     left = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
     right = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
-    both = pairs.join(left, "a").join(right, "b")
+    return _verified(pairs.join(left, "a").join(right, "b"), percent)
+
+
+def _verified(both: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the rows (a, na, ha, b, nb, hb) that are links: the union's sketch filters, the full sets decide."""
     ka, kb = F.slice("ha", 1, ESTIMATE_K), F.slice("hb", 1, ESTIMATE_K)
     union = F.slice(F.sort_array(F.array_union(ka, kb)), 1, ESTIMATE_K)
     hits = F.size(F.array_intersect(F.array_intersect(ka, kb), union))
@@ -219,9 +229,30 @@ def _short_links(listed: DataFrame, sets: DataFrame, scratch: Scratch, percent:
     return both.where(likely).where(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
 
 
-def block_forest(reps: list[int], sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+def _pivot_links(long: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Links between the members of long lists (v, rep, n) and PIVOTS members of each.
+
+    Pivots come from one order for all lists, so a group of copies has the same ones in all of its lists. The sets of
+    a pivot with many pairs are copied, and its pairs dealt to the copies.
+    """
+    order = [F.xxhash64(F.lit(i), F.col("rep")) for i in range(PIVOTS)]
+    pivots = long.groupBy("v").agg(F.array_distinct(F.array(*(F.min_by("rep", o) for o in order))).alias("ps")).select("v", F.explode("ps").alias("b"))
+    pairs = long.join(pivots, "v").where("rep <> b").select(F.col("rep").alias("a"), F.col("n").alias("na"), "b").distinct()
+    pairs = scratch.keep(pairs, "pivot_pairs")
+    copies = pairs.groupBy("b").agg(F.ceil(F.count("*") / PIVOT_PAIRS).cast("int").alias("copies"))
+    right = copies.join(sets, copies["b"] == sets["rep"]).select("b", "copies", F.col("n").alias("nb"), F.col("hashes").alias("hb"))
+    right = right.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    dealt = pairs.join(copies, "b").withColumn("copy", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int")).drop("copies", "na")
+    left = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
+    both = dealt.join(left, "a").join(right, ["b", "copy"]).where(_alike_sizes(F.col("na"), F.col("nb"), percent))
+    return scratch.keep(_verified(both, percent), "pivot_links")
+
+
+def block_forest(reps: list[int], sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT, component: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links between members of different sides (of all members if there is one side).
 
+    Members of one ``component`` are not compared.
+
     Intersections are a product of 0/1 matrices over the hashes that at least two members have.
     """
     m = len(reps)
@@ -245,6 +276,8 @@ def block_forest(reps: list[int], sets: list[np.ndarray], side: np.ndarray, perc
     linked = 100 * inter >= percent * (n[:, None] + n[None, :] - inter)
     if side.any() and not side.all():
         linked &= side[:, None] != side[None, :]
+    if component is not None:
+        linked &= component[:, None] != component[None, :]
     np.fill_diagonal(linked, False)
     out, seen = [], np.zeros(m, bool)
     for root in range(m):
@@ -261,11 +294,25 @@ def block_forest(reps: list[int], sets: list[np.ndarray], side: np.ndarray, perc
     return out
 
 
-def _long_links(listed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links within long lists: (v, blocks, rep, n), with ``blocks`` the number of blocks of the list."""
-    block = F.pmod(F.xxhash64("rep", "v"), F.col("blocks")).cast("int")
-    rows = listed.select("v", "rep", "blocks", block.alias("mine")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = rows.select("v", "rep", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).alias("side"))
+def _long_links(long: DataFrame, sets: DataFrame, known: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Links within long lists (v, rep, n) between members of different components (node, root) that are ``known``.
+
+    Of each list, the members outside its largest component meet each other and that component, in blocks;
+    a list of one component has no such members. Blocks of others come first in the numbering.
+    """
+    named = long.join(known, long["rep"] == known["node"], "left").select("v", "rep", "n", F.coalesce("root", "rep").alias("component"))
+    named = scratch.keep(named, "named_lists")
+    parts = named.groupBy("v", "component").agg(F.count("*").alias("m"), F.sum("n").alias("hashes"))
+    largest = F.max(F.struct("m", "component", "hashes")).alias("top")
+    parts = parts.groupBy("v").agg(largest, F.sum("m").alias("m"), F.sum("hashes").alias("hashes")).where(F.col("m") > F.col("top.m"))
+    count = lambda m, hashes: F.greatest(F.ceil(m / BLOCK), F.ceil(hashes / BLOCK_HASHES)).cast("int")
+    others, first = count(F.col("m") - F.col("top.m"), F.col("hashes") - F.col("top.hashes")), count(F.col("top.m"), F.col("top.hashes"))
+    parts = scratch.keep(parts.select("v", F.col("top.component").alias("top"), others.alias("others"), first.alias("first")), "open_lists")
+    rows = named.join(parts, "v").withColumn("in_top", F.col("component") == F.col("top"))
+    block = F.when(F.col("in_top"), F.col("others") + F.pmod(F.xxhash64("rep", "v"), F.col("first"))).otherwise(F.pmod(F.xxhash64("rep", "v"), F.col("others"))).cast("int")
+    met = F.sequence(F.lit(0), F.when(F.col("in_top"), F.col("others")).otherwise(F.col("others") + F.col("first")) - 1)
+    rows = rows.select("v", "rep", "component", block.alias("mine"), F.explode(met).alias("other"))
+    units = rows.select("v", "rep", "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).alias("side"))
     full = units.join(sets.select("rep", "hashes"), "rep")
 
     def forest(group: pa.Table) -> pa.Table:
@@ -275,7 +322,7 @@ def _long_links(listed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         ends = data.offsets.to_numpy()
         values = data.values.to_numpy()
         members = [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-        edges = block_forest(group.column("rep").to_pylist(), members, np.array(group.column("side").to_pylist(), bool), percent)
+        edges = block_forest(group.column("rep").to_pylist(), members, np.array(group.column("side").to_pylist(), bool), percent, group.column("component").to_numpy())
         return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
     return full.groupBy("v", "i", "j").applyInArrow(forest, "a bigint, b bigint")
@@ -287,66 +334,90 @@ def find_links(docs: DataFrame, reps: DataFrame, scratch: Scratch, id_col: str,
     sets = _sets_of(docs, wanted, scratch, id_col, text_col, size)
     sets = sets.join(reps.select(F.col("rep"), F.col("cls")), ["rep", "cls"]).select("rep", "n", "hashes")
     listed = _listed(sets, scratch, percent)
-    sizes = listed.groupBy("v").agg(F.count("*").alias("m"), F.sum("n").alias("hashes"))
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("hashes") / BLOCK_HASHES)).cast("int")
-    sizes = scratch.keep(sizes.where("m > 1").select("v", "m", blocks.alias("blocks")), "lists")
+    sizes = scratch.keep(listed.groupBy("v").agg(F.count("*").alias("m")).where("m > 1"), "lists")
     short = listed.join(sizes.where(F.col("m") <= LONG_LIST).select("v"), "v")
-    long = listed.join(sizes.where(F.col("m") > LONG_LIST).select("v", "blocks"), "v")
-    links = _short_links(short, sets, scratch, percent).unionByName(_long_links(long, sets, percent))
+    links = scratch.keep(_short_links(short, sets, scratch, percent), "short_links")
+    long = scratch.keep(listed.join(sizes.where(F.col("m") > LONG_LIST).select("v"), "v"), "long_lists")
+    if not long.isEmpty():
+        links = links.unionByName(_pivot_links(long, sets, scratch, percent))
+        known = components(links, scratch, "known")
+        links = links.unionByName(_long_links(long, sets, known, scratch, percent))
     return scratch.keep(links.distinct(), "links")
 
 
-def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, what: str = "") -> DataFrame:
     """(node, root): the smallest node reachable, for nodes that have links; by alternating large and small stars.
 
     Each round joins the edges with the least neighbour of each node, written before, so the edges of a hub
     can be split between tasks.
     """
     least_first = lambda a, b: (F.least(a, b).alias("root"), F.greatest(a, b).alias("node"))
-    edges = scratch.keep(links.where("a <> b").select(*least_first("a", "b")).distinct(), "edges0")
+    edges = scratch.keep(links.where("a <> b").select(*least_first("a", "b")).distinct(), f"{what}edges0")
     state, turn = None, 0
     while True:
         turn += 1
         both = edges.select(F.col("node").alias("u"), F.col("root").alias("w")).unionByName(edges.select(F.col("root").alias("u"), F.col("node").alias("w")))
-        low = scratch.keep(both.groupBy("u").agg(F.min("w").alias("m")).select("u", F.least("u", "m").alias("m")), f"large{turn}")
-        large = scratch.keep(both.where("w > u").join(low, "u").select(F.col("m").alias("root"), F.col("w").alias("node")).where("root <> node").distinct(), f"wide{turn}")
-        low = scratch.keep(large.groupBy(F.col("node").alias("u")).agg(F.min("root").alias("m")), f"small{turn}")
+        low = scratch.keep(both.groupBy("u").agg(F.min("w").alias("m")).select("u", F.least("u", "m").alias("m")), f"{what}large{turn}")
+        large = scratch.keep(both.where("w > u").join(low, "u").select(F.col("m").alias("root"), F.col("w").alias("node")).where("root <> node").distinct(), f"{what}wide{turn}")
+        low = scratch.keep(large.groupBy(F.col("node").alias("u")).agg(F.min("root").alias("m")), f"{what}small{turn}")
         joined = large.withColumnRenamed("node", "u").join(low, "u")
         small = joined.select(F.col("m").alias("root"), F.col("root").alias("node")).where("root <> node").unionByName(low.select(F.col("m").alias("root"), F.col("u").alias("node")))
-        new = scratch.keep(small.distinct(), f"edges{turn}")
+        new = scratch.keep(small.distinct(), f"{what}edges{turn}")
         now = new.agg(F.count("*"), F.sum(F.xxhash64("root", "node").cast("decimal(38,0)"))).first()
-        scratch.drop(f"edges{turn - 1}", f"large{turn}", f"wide{turn}", f"small{turn}")
+        scratch.drop(f"{what}edges{turn - 1}", f"{what}large{turn}", f"{what}wide{turn}", f"{what}small{turn}")
         edges = new
         if now == state:
             return edges.select("node", "root")
         state = now
 
 
+def _decided(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """(_id, key, n, linked, component) of each row; ``linked`` rows have shingles and an id."""
+    scratch = Scratch(docs.sparkSession, "neardup")
+    sketched = scratch.keep(sketch_documents(docs, id_col, text_col, size), "sketched")
+    linked = (F.col("n") > 0) & F.col("_id").isNotNull()
+    usable = sketched.where(linked)
+    classes = scratch.keep(usable.groupBy("cls").agg(F.min("_id").alias("rep")), "classes")
+    first = usable.join(classes, "cls").where(F.col("_id") == F.col("rep")).select("rep", "cls", "n", "sketch").dropDuplicates(["rep", "cls"])
+    reps = scratch.keep(first, "reps")
+    roots = components(find_links(docs, reps, scratch, id_col, text_col, size, percent), scratch)
+    named = scratch.keep(classes.join(roots, classes["rep"] == roots["node"], "left").select("cls", F.coalesce("root", "rep").alias("component")), "named")
+    out = sketched.select("_id", "key", "n", linked.alias("linked"), F.when(linked, F.col("cls")).alias("cls")).join(named, "cls", "left")
+    return out.select("_id", "key", "n", "linked", F.coalesce("component", "_id").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Returns (id, n_shingles, component_id, kept), a row per input row.
 
     Documents are linked if their shingle sets have 100 * intersection >= percent * union; the component is the
     smallest id reachable. Null and wordless texts have no shingles and are linked with nothing. Rows
     with a null id are linked with nothing either and keep a null component (kept is false). Equal rows
-    share a component and are kept or dropped together. Other columns are dropped.
+    share a component and are kept or dropped together; of rows with one id and different texts each has the
+    component of its text. An empty table gives no rows. Other columns, whatever their names, are dropped.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "neardup")
-    sketched = scratch.keep(sketch_documents(docs, id_col, text_col, size), "sketched")
-    usable = sketched.where((F.col("n") > 0) & F.col("_id").isNotNull())
-    classes = scratch.keep(usable.groupBy("cls").agg(F.min("_id").alias("rep")), "classes")
-    first = usable.join(classes, "cls").where(F.col("_id") == F.col("rep")).select("rep", "cls", "n", "sketch").dropDuplicates(["rep", "cls"])
-    reps = scratch.keep(first, "reps")
-    roots = components(find_links(docs, reps, scratch, id_col, text_col, size, percent), scratch)
-    named = scratch.keep(classes.join(roots, classes["rep"] == roots["node"], "left").select("cls", F.coalesce("root", "rep").alias("component")), "named")
-    has_class = F.when((F.col("n") > 0) & F.col("_id").isNotNull(), F.col("cls"))
-    out = sketched.select("_id", "n", has_class.alias("cls")).join(named, "cls", "left")
-    component = F.coalesce("component", "_id")
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(False)).alias("kept"))
+    out = _decided(docs, id_col, text_col, size, percent)
+    kept = F.coalesce(F.col("_id") == F.col("component"), F.lit(False))
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The document with the smallest id of each component, and all without an id, with all their columns."""
-    found = near_duplicates(docs, id_col, text_col, size, percent)
-    dropped = Scratch(docs.sparkSession, "dropped").keep(found.where(~F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct(), "ids")
-    return docs.join(dropped, id_col, "left_anti").select(docs.columns)
+    """One row of each component, with all its columns: the one with the smallest id, and of that id the least text hash.
+
+    So of rows with one id and different texts each stays or goes by its text, and of equal rows one
+    stays (of those that differ in other columns, the least by these). Rows without an id or without
+    shingles, null texts among them, all stay. An empty table gives an empty one; columns keep names and order.
+    """
+    decided = _decided(docs, id_col, text_col, size, percent).where("linked").groupBy("component", "_id", "key").agg(F.count("*").alias("rows"))
+    scratch = Scratch(docs.sparkSession, "dropped")
+    decided = scratch.keep(decided, "decided")
+    first = decided.groupBy("component").agg(F.min(F.struct("_id", "key")).alias("first"))
+    marked = decided.join(first, "component").select("_id", "key", "rows", (F.struct("_id", "key") == F.col("first")).alias("stays")).where("NOT stays OR rows > 1")
+    marked = scratch.keep(marked.select(F.col("_id").alias("_m_id"), F.col("key").alias("_m_key"), "stays"), "marked")
+    same = (docs[id_col].cast("bigint") == marked["_m_id"]) & (F.xxhash64(docs[text_col]) == marked["_m_key"])
+    out = docs.join(marked, same, "left_anti")
+    again = marked.where("stays")
+    if not again.isEmpty():
+        again = docs.join(again, (docs[id_col].cast("bigint") == again["_m_id"]) & (F.xxhash64(docs[text_col]) == again["_m_key"]), "left_semi")
+        one = again.groupBy(F.col(id_col).alias("_m_id"), F.xxhash64(text_col).alias("_m_key")).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("_m_row"))
+        out = out.unionByName(one.select("_m_row.*"))
+    return out
