@@ -1,10 +1,11 @@
 """Secret scan: pattern matches, and a likelihood test by automata inferred from labelled credentials.
 
-Credentials that the patterns label are a training sample. For each kind, a prefix tree of the sample is
-generalised by merging states whose outgoing frequencies are statistically compatible (Hoeffding bound), which
-yields a probabilistic automaton; one more automaton is inferred from ordinary long words. Every token-like
-run of the corpus is scored: it is a secret if some credential automaton explains it far better than
-the automaton of ordinary words does.
+Credentials that the patterns label are a training sample, split by the classes of characters they have. For each
+part a prefix tree is generalised by merging states whose outgoing frequencies are statistically compatible
+(Hoeffding bound). Only states of one depth merge, so the automaton keeps what makes a format: its prefix, its
+length, and the characters at each place. Ordinary runs (letters alone, or digits alone) give automata too, whose
+states merge at any depth. Every token-like run of the corpus is scored: it is a secret if some credential
+automaton explains it far better than all those of ordinary runs do.
 """
 
 from __future__ import annotations
@@ -27,17 +28,20 @@ SAMPLE = 300
 TRAIN_CHARS = 200
 #: Significance of the Hoeffding test; smaller values merge more.
 ALPHA = 0.05
+#: Ordinary runs: a part of the unlabelled ones by what they consist of, which no credential format is made of alone.
+ORDINARY = {"word": "^[A-Z]?[a-z]+$", "capitals": "^[A-Z]+$", "number": "^[0-9]+$"}
 #: Natural-log likelihood ratio, in all and for each character, that a secret must exceed.
 LEAST_RATIO, LEAST_RATIO_PER_CHAR = 15.0, 0.8
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Scored strings that a worker remembers.
-MEMO = 100_000
-#: Characters that a run may have, for the share of unseen ones.
-_ALPHABET = 64
+#: Runs that are scored; shorter ones are too short for the least ratio.
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+#: Scored strings of up to MEMO_CHARS that a worker remembers.
+MEMO, MEMO_CHARS = 100_000, 100
+#: Characters that a run may have, and the count that each has before any is seen.
+_ALPHABET, _PRIOR = 66, 0.1
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
@@ -51,20 +55,30 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
 
 def candidates(text: str, taken: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
     """Token-like runs that overlap no base span."""
-    out, k = [], 0
-    ends = sorted((a, b) for a, _, b, _ in taken)
+    out, k, reach = [], 0, 0
     for m in _CANDIDATE.finditer(text):
-        while k < len(ends) and ends[k][1] <= m.start():
+        # ``reach`` is where the base spans that start before the end of the run end; spans are sorted by start.
+        while k < len(taken) and taken[k][0] < m.end():
+            reach = max(reach, taken[k][2])
             k += 1
-        if all(b <= m.start() or a >= m.end() for a, b in ends[k:]):
+        if reach <= m.start():
             out.append(m.span())
     return out
 
 
+def characters(s: str) -> str:
+    """Which classes of characters a credential has; formats differ by them."""
+    return "".join(k for k, found in (("a", _LOWER.search(s)), ("A", _UPPER.search(s)), ("0", _DIGIT.search(s)), ("-", _OTHER.search(s))) if found)
+
+
+_LOWER, _UPPER, _DIGIT, _OTHER = re.compile("[a-z]"), re.compile("[A-Z]"), re.compile("[0-9]"), re.compile("[^A-Za-z0-9]")
+
+
 class Automaton:
-    """A probabilistic finite automaton inferred by merging compatible states of a prefix tree."""
+    """A probabilistic finite automaton inferred by merging compatible states of a prefix tree, of one depth if ``layered``."""
 
-    def __init__(self, strings: list[str], alpha: float = ALPHA):
+    def __init__(self, strings: list[str], alpha: float = ALPHA, layered: bool = True):
+        self.layered, self.depth = layered, [0]
         self.next: list[dict[str, int]] = [{}]
         self.count: list[dict[str, int]] = [{}]
         self.end: list[int] = [0]
@@ -77,6 +91,7 @@ class Automaton:
                     self.next.append({})
                     self.count.append({})
                     self.end.append(0)
+                    self.depth.append(self.depth[at] + 1)
                 at = self.next[at][c]
             self.end[at] += 1
         self._bound = math.sqrt(0.5 * math.log(2 / alpha))
@@ -128,7 +143,7 @@ class Automaton:
             _, q, c = blue[0]
             state = self.next[q][c]
             for r in red:
-                if self._compatible(r, state):
+                if (not self.layered or self.depth[r] == self.depth[state]) and self._compatible(r, state):
                     self.next[q][c] = r
                     self._fold(r, state)
                     break
@@ -138,46 +153,82 @@ class Automaton:
         self.states = red
 
     def _score(self) -> None:
-        """Log probabilities, with a share of each state's mass for characters it has not seen."""
-        self.log: dict[int, dict[str, float]] = {}
-        self.log_end: dict[int, float] = {}
-        self.log_unseen: dict[int, float] = {}
+        """Log probabilities: of each state's n observations of k kinds, k / (n + k) of the mass goes by the overall shares."""
+        totals = [self._total(q) for q in self.states]
+        seen: dict[str, int] = {}
         for q in self.states:
-            n = self._total(q)
-            unseen = 1 / (n + 1)
-            self.log_unseen[q] = math.log(unseen / _ALPHABET)
-            self.log[q] = {c: math.log(k / n * (1 - unseen)) for c, k in self.count[q].items()}
-            self.log_end[q] = math.log((self.end[q] / n if n else 0) * (1 - unseen) + unseen / _ALPHABET)
+            for c, n in self.count[q].items():
+                seen[c] = seen.get(c, 0) + n
+        ends, letters = sum(self.end[q] for q in self.states), sum(seen.values())
+        stop = (ends + _PRIOR) / (ends + letters + 2 * _PRIOR)
+        share = lambda n: (1 - stop) * (n + _PRIOR) / (letters + _ALPHABET * _PRIOR)
+        shares = {c: share(n) for c, n in seen.items()}
+        self.log_share, self.log_rare, self.log_stop = {c: math.log(p) for c, p in shares.items()}, math.log(share(0)), math.log(stop)
+        self.step: dict[int, dict[str, tuple[float, int]]] = {}
+        self.log_end: dict[int, float] = {}
+        self.log_back: dict[int, float] = {}
+        fullest: dict[int, tuple[int, int]] = {}
+        for q, n in zip(self.states, totals, strict=True):
+            k = len(self.count[q]) + (self.end[q] > 0)
+            back = k / (n + k) if n else 1.0
+            self.log_back[q] = math.log(back)
+            self.step[q] = {c: (math.log((1 - back) * m / n + back * shares[c]), self.next[q][c]) for c, m in self.count[q].items()}
+            self.log_end[q] = math.log((1 - back) * self.end[q] / n + back * stop) if n else math.log(stop)
+            fullest[self.depth[q]] = max(fullest.get(self.depth[q], (0, 0)), (n, q))
+        # After a character that a state has not seen: the fullest state of the next depth, or the same state.
+        self.after = {q: (fullest[self.depth[q] + 1][1] if self.depth[q] + 1 in fullest else None) if self.layered else q for q in self.states}
 
     def log_likelihood(self, s: str) -> float:
-        """Of the whole string; a character without a transition costs the unseen share and keeps the state."""
+        """Of the whole string. Beyond the last depth of a layered automaton the overall shares hold."""
         at, total = 0, 0.0
-        for c in s:
-            step = self.log[at].get(c)
+        for i, c in enumerate(s):
+            if at is None:
+                return total + sum(self.log_share.get(x, self.log_rare) for x in s[i:]) + self.log_stop
+            step = self.step[at].get(c)
             if step is None:
-                total += self.log_unseen[at]
+                total += self.log_back[at] + self.log_share.get(c, self.log_rare)
+                at = self.after[at]
             else:
-                total += step
-                at = self.next[at][c]
-        return total + self.log_end[at]
+                total += step[0]
+                at = step[1]
+        return total + (self.log_stop if at is None else self.log_end[at])
 
 
 class SecretModel:
-    def __init__(self, credentials: dict[str, list[str]], words: list[str]):
-        self.kinds = {k: Automaton(v) for k, v in credentials.items() if v}
-        self.words = Automaton(words) if words else None
-
+    """Automata of the credentials of each kind and class of characters, and of ordinary runs by their kind."""
+
+    def __init__(self, credentials: dict[str, list[str]], ordinary: list[str]):
+        parts: dict[tuple[str, str], list[str]] = {}
+        for kind, values in credentials.items():
+            for v in values:
+                parts.setdefault((kind, characters(v)), []).append(v)
+        plain: dict[str, list[str]] = {}
+        for v in ordinary:
+            name = next((n for n, pattern in ORDINARY.items() if re.match(pattern, v)), None)
+            if name:
+                plain.setdefault(name, []).append(v)
+        self.formats = {k: Automaton(v) for k, v in sorted(parts.items())}
+        self.ordinary = {k: Automaton(v, layered=False) for k, v in sorted(plain.items())}
+        self._alone = {classes for _, classes in self.formats}
         self._memo: dict[str, bool] = {}
 
+    def ratio(self, s: str) -> float:
+        """Natural logarithm of how much likelier the string is as a credential than as an ordinary run."""
+        return max(a.log_likelihood(s) for a in self.formats.values()) - max(a.log_likelihood(s) for a in self.ordinary.values())
+
     def is_secret(self, s: str) -> bool:
-        if not self.kinds or self.words is None:
+        """By the ratio; a run of letters or digits alone is ordinary unless some labelled credential has that class alone."""
+        if not self.formats or not self.ordinary:
             return False
-        if s not in self._memo:
-            if len(self._memo) >= MEMO:
-                self._memo.clear()
-            ratio = max(a.log_likelihood(s) for a in self.kinds.values()) - self.words.log_likelihood(s)
-            self._memo[s] = ratio > LEAST_RATIO and ratio > LEAST_RATIO_PER_CHAR * len(s)
-        return self._memo[s]
+        found = self._memo.get(s)
+        if found is None:
+            ratio = self.ratio(s) if characters(s) in self._alone or not any(re.match(p, s) for p in ORDINARY.values()) else -math.inf
+            found = ratio > LEAST_RATIO and ratio > LEAST_RATIO_PER_CHAR * len(s)
+            if len(s) <= MEMO_CHARS:
+                if len(self._memo) >= MEMO:
+                    self._memo.clear()
+                self._memo[s] = found
+        return found
 
 
 def scan_patterns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,14 +250,15 @@ def scan_patterns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def train_model(scanned: DataFrame) -> SecretModel:
-    """Infers the automata from the SAMPLE distinct strings of each kind with the least hashes."""
+    """Infers the automata from the SAMPLE distinct strings of each kind with the least hashes, over the whole corpus."""
     each = scanned.select(F.explode(F.arrays_zip("kinds", "values")).alias("s")).select(F.col("s.kinds").alias("kind"), F.col("s.values").alias("value"))
     each = each.where(F.length("value") <= TRAIN_CHARS)
-    samples = {}
-    for number in (-1, 0, 1, 2):
-        wanted = each.where(F.col("kind") == number).groupBy("value").agg(F.count("*").alias("n")).orderBy(F.xxhash64("value"), "value").limit(SAMPLE)
-        samples[number] = sorted(r["value"] for r in wanted.collect())
-    return SecretModel({k: samples[i] for i, k in enumerate(KINDS)}, samples[-1])
+    least = lambda rows: sorted(r["value"] for r in rows.groupBy("value").agg(F.count("*").alias("n")).orderBy(F.xxhash64("value"), "value").limit(SAMPLE).collect())
+    credentials = {k: least(each.where(F.col("kind") == i)) for i, k in enumerate(KINDS)}
+    if not any(credentials.values()):
+        return SecretModel({}, [])
+    ordinary = [v for pattern in ORDINARY.values() for v in least(each.where((F.col("kind") == -1) & F.col("value").rlike(pattern)))]
+    return SecretModel(credentials, ordinary)
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,8 +310,9 @@ def redact(text: str, spans: list[dict]) -> str:
 def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """All documents and columns, with each secret replaced by the name of its kind in angle brackets.
 
-    ``size_col``, if there is one, is the length of a changed text; texts without secrets, null ones
-    too, stay as they are.
+    ``size_col``, if there is one, is the length of a changed text; texts without secrets, null and empty ones
+    too, stay as they are. Equal texts change alike and repeated rows stay; columns keep their names and order,
+    whatever these are. An empty table gives an empty one.
     """
     model = train_model(Scratch(docs.sparkSession, "redact").keep(scan_patterns(docs, id_col, text_col), "scanned"))
     small_batches(docs.sparkSession)
