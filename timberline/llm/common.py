@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,10 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (local tests) is a temporary folder made and stored there.
+    Only where the session leaves it unset and runs in this one process (local tests) is a temporary folder made and
+    stored there; on a cluster that raises, since executors do not share a machine's folders.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set; it must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="timberline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -33,11 +37,14 @@ class Scratch:
 
     ``keep`` writes a DataFrame as Parquet and reads it back: that cuts lineage, so a lost executor costs
     only the tasks that were running, and fixes the rows of non-deterministic steps. ``drop`` deletes
-    a table that later tables no longer need.
+    a table that later tables no longer need. Results read their tables when they are used, so these stay until the
+    caller deletes them: ``with discarding(spark)`` does it for all that was made inside it.
     """
 
     def __init__(self, spark: SparkSession, what: str):
-        self.spark, self.base, self.paths = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}", {}
+        self.spark, self.base = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+        for made in _WATCHED:
+            made.append(self.base)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -47,10 +54,29 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, self.path(name))
+
+
+_WATCHED: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def discarding(spark: SparkSession) -> Iterator[None]:
+    """Deletes the scratch tables that were made inside, at its end; what is still wanted must be written elsewhere by then."""
+    made: list[str] = []
+    _WATCHED.append(made)
+    try:
+        yield
+    finally:
+        _WATCHED.remove(made)
+        for base in made:
+            _delete(spark, base)
 
 
 #: Texts are long; batches of this many rows bound what the JVM and a worker hold of them at once.
@@ -58,7 +84,10 @@ BATCH_ROWS = 2000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most BATCH_ROWS rows, unless the session already asks for fewer than its default."""
+    """Arrow batches of at most BATCH_ROWS rows, unless the session already asks for fewer.
+
+    This changes the session's setting for good: plans read it when they run, which is after the call that made them.
+    """
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(setting)) > BATCH_ROWS:
         spark.conf.set(setting, str(BATCH_ROWS))
@@ -80,10 +109,11 @@ def release_worker() -> None:
     _OF_WORKER.clear()
 
 
-def map_arrow(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], schema: str, every: int = 2000, keeps: bool = False) -> DataFrame:
+def map_arrow(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterable[dict]], schema: str, every: int = 2000, keeps: bool = False, heavy: str | None = None) -> DataFrame:
     """``mapInArrow`` for functions that yield one dict per output row; at most ``every`` rows make a batch.
 
-    Unless the function ``keeps`` something in its worker, what another one kept there goes first.
+    Unless the function ``keeps`` something in its worker, what another one kept there goes first. A batch ends
+    too once the values of the ``heavy`` column have HEAVY_BYTES.
     """
     small_batches(df.sparkSession)
     spark_schema = _parsed(df.sparkSession, schema)
@@ -94,7 +124,7 @@ def map_arrow(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterable
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not keeps:
             release_worker()
-        yield from as_batches(rows(batches), arrow, every)
+        yield from as_batches(rows(batches), arrow, every, heavy)
 
     return df.mapInArrow(run, spark_schema)
 
@@ -105,13 +135,18 @@ def _parsed(spark: SparkSession, ddl: str):
     return StructType.fromDDL(ddl)
 
 
-def as_batches(rows: Iterable[dict], schema: pa.Schema, every: int = 2000) -> Iterator[pa.RecordBatch]:
-    held: list[dict] = []
+#: Bytes of a batch's heavy column.
+HEAVY_BYTES = 8 << 20
+
+
+def as_batches(rows: Iterable[dict], schema: pa.Schema, every: int = 2000, heavy: str | None = None) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
     for row in rows:
         held.append(row)
-        if len(held) >= every:
+        size += len(row[heavy] or b"") if heavy else 0
+        if len(held) >= every or size >= HEAVY_BYTES:
             yield pa.RecordBatch.from_pylist(held, schema=schema)
-            held = []
+            held, size = [], 0
     if held:
         yield pa.RecordBatch.from_pylist(held, schema=schema)
 
@@ -123,13 +158,14 @@ def texts_of(batch: pa.RecordBatch, column: str, step: int = 256) -> Iterator[tu
         yield at, data.slice(at, step).to_pylist()
 
 
-def filter_rows(df: DataFrame, keep: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, list[bool]]]]) -> DataFrame:
-    """The rows of ``df`` that ``keep`` marks, with all their columns as they are; nothing shuffles."""
+def filter_rows(df: DataFrame, keep: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, list[bool]]]], keeps: bool = False) -> DataFrame:
+    """The rows of ``df`` that ``keep`` marks, with all their columns as they are; nothing shuffles. ``keeps`` as in ``map_arrow``."""
 
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_worker()
+        if not keeps:
+            release_worker()
         for batch, mask in keep(batches):
             yield batch if all(mask) else batch.filter(pa.array(mask, pa.bool_()))
 

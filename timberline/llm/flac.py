@@ -10,23 +10,29 @@ so a table of next set bits lets one step of numpy advance every subframe by one
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import map_arrow
+from timberline.llm.common import Scratch, map_arrow
 
 #: Samples of a frame that the encoder writes.
 FRAME = 4096
-#: Bytes of streams that are coded at once.
+#: Bytes of streams that are coded at once; a longer stream goes in runs of frames, so memory does not grow with it.
 BATCH_BYTES = 1 << 20
 #: Encoded texts are padded to a multiple of this many bytes.
 UNIT = 64
 SAMPLE_RATE = 8000
+#: Parts of the documents whose media are stored one after the other.
+ROUNDS = 4
+#: Bytes of a stream that are decoded as one part at least.
+LEAST_PART = 2048
 #: Bytes of a seek point: sample, byte offset from the first frame, samples of the frame.
 SEEK_POINT = 18
 
@@ -95,19 +101,41 @@ def _bit_fields(size: int, fields: list[tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def encode_streams(payloads: list[bytes]) -> list[bytes]:
-    """Each payload as a FLAC stream of one channel with 8-bit samples (bytes less 128).
+    """Each payload as a FLAC stream of one channel with 8-bit samples (bytes less 128), FRAME samples a frame, the last the rest."""
+    made: list[list[bytes]] = [[] for _ in payloads]
+    run: list[tuple[int, int, bytes]] = []
+
+    def close() -> None:
+        for (p, _, _), frame in zip(run, _encode_frames([(number, part) for _, number, part in run]), strict=True):
+            made[p].append(frame)
+        run.clear()
 
-    Frames have FRAME samples, the last the rest. Each takes the fixed predictor (order 0 to 2) with the
-    least sum of magnitudes and the Rice parameter of its mean, or is verbatim where that is no longer.
-    """
-    frame_of, lengths = [], []
     for p, data in enumerate(payloads):
         for at in range(0, len(data), FRAME):
-            frame_of.append((p, at // FRAME))
-            lengths.append(min(FRAME, len(data) - at))
+            run.append((p, at // FRAME, data[at : at + FRAME]))
+            if len(run) * FRAME >= BATCH_BYTES:
+                close()
+    close()
+    out = []
+    for payload, frames in zip(payloads, made, strict=True):
+        seeks, at = [], 0
+        for i, frame in enumerate(frames):
+            seeks.append((FRAME * i).to_bytes(8, "big") + at.to_bytes(8, "big") + min(FRAME, len(payload) - FRAME * i).to_bytes(2, "big"))
+            at += len(frame)
+        out.append(b"".join((_stream_head(payload, b"".join(seeks)), *frames)))
+    return out
+
+
+def _encode_frames(parts: list[tuple[int, bytes]]) -> list[bytes]:
+    """The frames of (frame number, samples) pairs.
+
+    Each takes the fixed predictor (order 0 to 2) with the least sum of magnitudes and the Rice parameter of its mean,
+    or is verbatim where that is no longer.
+    """
+    lengths = [len(part) for _, part in parts]
     n = np.array(lengths, np.int64)
     starts = np.cumsum(n) - n
-    x = np.frombuffer(b"".join(payloads), np.uint8).astype(np.int32) - 128
+    x = np.frombuffer(b"".join(part for _, part in parts), np.uint8).astype(np.int32) - 128
     within = np.arange(len(x)) - np.repeat(starts, n)
     residuals = [x]
     for order in (1, 2):
@@ -131,9 +159,8 @@ def encode_streams(payloads: list[bytes]) -> list[bytes]:
     verbatim = (total + 10 >= 8 * n) | (n <= 4)
     # One bit string for all subframes; each begins at a byte, after room for its frame header.
     headers = []
-    for (_, number), size, o, v in zip(frame_of, lengths, order.tolist(), verbatim.tolist(), strict=True):
-        head = b"\xff\xf8" + (b"\x70" if size != FRAME else b"\xc0")[:1]
-        head = bytes((head[0], head[1], (0x70 if size != FRAME else 0xC0) | 0x04, 0x02)) + _utf8_number(number) + ((size - 1).to_bytes(2, "big") if size != FRAME else b"")
+    for (number, _), size, o, v in zip(parts, lengths, order.tolist(), verbatim.tolist(), strict=True):
+        head = bytes((0xFF, 0xF8, (0x70 if size != FRAME else 0xC0) | 0x04, 0x02)) + _utf8_number(number) + ((size - 1).to_bytes(2, "big") if size != FRAME else b"")
         headers.append(head + bytes((crc8(head), 0x02 if v else (0x08 | o) << 1)))
     rice = ~verbatim
     body_bits = np.where(verbatim, 8 * n, total + 10)
@@ -162,14 +189,7 @@ def encode_streams(payloads: list[bytes]) -> list[bytes]:
     crc = _crc16(data, frame_starts, ends)
     data[ends], data[ends + 1] = (crc >> 8).astype(np.uint8), (crc & 0xFF).astype(np.uint8)
     raw = data.tobytes()
-    owner = np.array([p for p, _ in frame_of], np.int64)
-    bounds = np.searchsorted(owner, np.arange(len(payloads) + 1)).tolist()
-    out = []
-    for payload, a, b in zip(payloads, bounds, bounds[1:], strict=False):
-        first, last = (int(frame_starts[a]), int(frame_starts[b - 1] + frame_sizes[b - 1])) if b > a else (0, 0)
-        seeks = b"".join((FRAME * i).to_bytes(8, "big") + (at - first).to_bytes(8, "big") + size.to_bytes(2, "big") for i, (at, size) in enumerate(zip(frame_starts[a:b].tolist(), lengths[a:b], strict=True)))
-        out.append(_stream_head(payload, seeks) + raw[first:last])
-    return out
+    return [raw[a:b] for a, b in zip(frame_starts.tolist(), (frame_starts + frame_sizes).tolist(), strict=True)]
 
 
 def _stream_head(payload: bytes, seeks: bytes) -> bytes:
@@ -259,8 +279,8 @@ _FIXED = {0: (), 1: (1,), 2: (2, -1), 3: (3, -3, 1), 4: (4, -6, 4, -1)}
 class _Lane:
     """A part of a stream between seek points (or all of it) being decoded: its place, and the frame and channel it is in."""
 
-    def __init__(self, data: bytes, info: Info, offset: int, at: int, end: int):
-        self.data, self.info, self.offset, self.at, self.end = data, info, offset, at, end
+    def __init__(self, data: bytes, info: Info, offset: int):
+        self.data, self.info, self.offset, self.at, self.end = data, info, offset, 0, len(data)
         self.frame: _Frame | None = None
         self.frame_at = self.bit = 0
         self.channels: list[np.ndarray] = []
@@ -458,20 +478,14 @@ def _stereo(channels: list[np.ndarray], assignment: int) -> list[np.ndarray]:
     return [(mid + b) >> 1, (mid - b) >> 1]
 
 
-def decode_streams(streams: list[bytes]) -> list[tuple[Info, list[np.ndarray]]]:
-    """For each stream its STREAMINFO and, per frame, samples of shape (n, channels).
-
-    Raises ValueError for a wrong checksum or sample count, and for reserved codes.
-    """
-    joined = b"".join(streams)
-    offsets = np.cumsum([0, *map(len, streams)]).tolist()
+def _decode_run(parts: list[tuple[bytes, Info]]) -> list[list[np.ndarray]]:
+    """The blocks of samples of parts of streams, each of whole frames; raises for a wrong checksum."""
+    joined = b"".join(data for data, _ in parts)
     bits = _Bits(joined)
-    infos = [read_info(s) for s in streams]
-    parts: list[list[_Lane]] = []
-    for stream, info, offset in zip(streams, infos, offsets, strict=False):
-        starts = sorted({info.frames_at, *(info.frames_at + s for s in info.seeks)})
-        parts.append([_Lane(stream, info, offset, a, b) for a, b in zip(starts, [*starts[1:], len(stream)], strict=True)])
-    lanes = [x for part in parts for x in part]
+    lanes, offset = [], 0
+    for data, info in parts:
+        lanes.append(_Lane(data, info, offset))
+        offset += len(data)
     frames: list[tuple[int, int]] = []
     active = [x for x in lanes if x.at < x.end]
     while active:
@@ -499,17 +513,64 @@ def decode_streams(streams: list[bytes]) -> list[tuple[Info, list[np.ndarray]]]:
     starts, ends = (np.array([f[i] for f in frames], np.int64) for i in (0, 1))
     if len(frames) and ((data[ends].astype(np.int64) << 8 | data[ends + 1]) != _crc16(data, starts, ends)).any():
         raise ValueError("a frame checksum is wrong")
-    out = []
-    for info, part in zip(infos, parts, strict=True):
-        blocks = [b for lane in part for b in lane.blocks]
-        if info.samples and sum(map(len, blocks)) != info.samples:
-            raise ValueError("a stream has another number of samples than it says")
-        if any(info.md5):
-            wide = (info.bits + 7) // 8
-            raw = np.concatenate(blocks).astype("<i4").reshape(-1, 1).view(np.uint8)[:, :wide].tobytes() if blocks else b""
-            if hashlib.md5(raw, usedforsecurity=False).digest() != info.md5:
-                raise ValueError("the samples have another MD5 than the stream says")
-        out.append((info, blocks))
+    return [lane.blocks for lane in lanes]
+
+
+def _pcm(block: np.ndarray, info: Info) -> bytes:
+    """Interleaved little-endian samples in as few whole bytes as they need."""
+    return block.astype("<i4").reshape(-1, 1).view(np.uint8)[:, : (info.bits + 7) // 8].tobytes()
+
+
+def decode_blocks(streams: list[bytes]) -> Iterator[tuple[int, Info, list[np.ndarray], bool]]:
+    """(number of the stream, STREAMINFO, blocks of samples of shape (n, channels), whether they are its last), in order.
+
+    Streams with seek points are decoded in runs of about BATCH_BYTES between them. Raises ValueError for a wrong
+    checksum or sample count, and for reserved codes.
+    """
+    run: list[tuple[int, bytes, Info, bool]] = []
+    count, digest = 0, hashlib.md5(usedforsecurity=False)
+
+    def close() -> Iterator[tuple[int, Info, list[np.ndarray], bool]]:
+        nonlocal count, digest
+        for (number, _, info, last), blocks in zip(run, _decode_run([(data, info) for _, data, info, _ in run]), strict=True):
+            count += sum(map(len, blocks))
+            if any(info.md5):
+                for block in blocks:
+                    digest.update(_pcm(block, info))
+            if last:
+                if info.samples and count != info.samples:
+                    raise ValueError("a stream has another number of samples than it says")
+                if any(info.md5) and digest.digest() != info.md5:
+                    raise ValueError("the samples have another MD5 than the stream says")
+                count, digest = 0, hashlib.md5(usedforsecurity=False)
+            yield number, info, blocks, last
+        run.clear()
+
+    size = 0
+    for number, stream in enumerate(streams):
+        info = read_info(stream)
+        starts = sorted({info.frames_at, *(info.frames_at + s for s in info.seeks)})
+        # Parts are runs of frames: seek points closer than the least part are passed over.
+        cuts = [starts[0]]
+        for s in starts[1:]:
+            if s - cuts[-1] >= LEAST_PART:
+                cuts.append(s)
+        for a, b in zip(cuts, [*cuts[1:], len(stream)], strict=True):
+            run.append((number, stream[a:b], info, b == len(stream)))
+            size += b - a
+            if size >= BATCH_BYTES:
+                yield from close()
+                size = 0
+    yield from close()
+
+
+def decode_streams(streams: list[bytes]) -> list[tuple[Info, list[np.ndarray]]]:
+    """For each stream its STREAMINFO and all its blocks."""
+    out: list[tuple[Info, list[np.ndarray]]] = []
+    for number, info, blocks, _ in decode_blocks(streams):
+        if number == len(out):
+            out.append((info, []))
+        out[number][1].extend(blocks)
     return out
 
 
@@ -549,57 +610,91 @@ def texts_to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield {"_id": i, "n_bytes": len((t or "").encode()), "media": media}
 
     narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return map_arrow(narrow, rows, f"_id {kind}, n_bytes bigint, media binary", 200).withColumnRenamed("_id", id_col)
+    return map_arrow(narrow, rows, f"_id {kind}, n_bytes bigint, media binary", 200, heavy="media").withColumnRenamed("_id", id_col)
+
+
+class _Digest:
+    """What is gathered over a stream's blocks while they pass: payload size and digests, and the feature."""
+
+    def __init__(self):
+        self.payload, self.tail, self.size = hashlib.sha256(), b"", 0
+        self.energy = self.crossings = self.peak = 0
+        self.sign: bool | None = None
+
+    def add(self, block: np.ndarray) -> None:
+        x = block[:, 0].astype(np.int64)
+        raw = (x + 128).astype(np.uint8).tobytes()
+        self.payload.update(raw)
+        self.tail = (self.tail + raw)[-UNIT:]
+        self.size += len(raw)
+        sign = x >= 0
+        self.crossings += int(np.count_nonzero(np.diff(sign))) + (self.sign is not None and self.sign != bool(sign[0]))
+        self.sign = bool(sign[-1])
+        self.energy += int((x * x).sum())
+        self.peak = max(self.peak, int(np.abs(x).max()))
+
+    def row(self, media: bytes) -> dict:
+        return {"payload_bytes": self.size, "payload_sha256": self.payload.hexdigest(), "tail_crc32": zlib.crc32(self.tail), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": f"{self.energy}:{self.crossings}:{self.peak}"}
+
+
+_DIGEST = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+_BLOCK = "block bigint, sample_offset bigint, n_samples bigint, sample_rate bigint, channels bigint, bits bigint, pcm binary"
 
 
-def media_blocks(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+def media_blocks(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", digests: bool = False) -> DataFrame:
     """Returns (id, block, sample_offset, n_samples, sample_rate, channels, bits, pcm): a row per FLAC frame.
 
     ``pcm`` holds interleaved little-endian samples in as few whole bytes as they need; a reader seeks to
-    the last block with ``sample_offset`` at or before the wanted sample. Null media give no rows; a damaged
-    stream raises.
+    the last block with ``sample_offset`` at or before the wanted sample. With ``digests``, the last block of each
+    stream has a struct ``digest`` of the whole (of the first channel, as 8-bit samples): payload size, SHA-256 and the
+    CRC-32 of its last UNIT bytes, the stream's size and SHA-256, and the feature "energy:crossings:peak" in integers
+    (the sum of squares, the sign changes, the largest magnitude). Null media and streams without samples give no
+    rows; a damaged stream raises. Repeated rows stay; other columns, whatever their names, are dropped.
     """
     kind = media.schema[id_col].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for ids, streams in _batched(batches, 1, len):
-            for i, (info, blocks) in zip(ids, decode_streams(streams), strict=True):
-                offset, wide = 0, (info.bits + 7) // 8
-                for number, block in enumerate(blocks):
-                    pcm = block.astype("<i4").reshape(-1, 1).view(np.uint8)[:, :wide].tobytes()
-                    yield {"_id": i, "block": number, "sample_offset": offset, "n_samples": len(block), "sample_rate": info.rate, "channels": info.channels, "bits": info.bits, "pcm": pcm}
-                    offset += len(block)
+            offset, place, digest = 0, 0, _Digest()
+            for number, info, blocks, last in decode_blocks(streams):
+                for i, block in enumerate(blocks):
+                    row = {"_id": ids[number], "block": place, "sample_offset": offset, "n_samples": len(block), "sample_rate": info.rate, "channels": info.channels, "bits": info.bits, "pcm": _pcm(block, info)}
+                    if digests:
+                        digest.add(block)
+                        row["digest"] = digest.row(streams[number]) if last and i == len(blocks) - 1 else None
+                    yield row
+                    offset, place = offset + len(block), place + 1
+                if last:
+                    offset, place, digest = 0, 0, _Digest()
 
     narrow = media.where(F.col(media_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(media_col).alias("_media"))
-    return map_arrow(narrow, rows, f"_id {kind}, block bigint, sample_offset bigint, n_samples bigint, sample_rate bigint, channels bigint, bits bigint, pcm binary", 200).withColumnRenamed("_id", id_col)
+    columns = f"_id {kind}, {_BLOCK}" + (f", digest struct<{_DIGEST.replace(' ', ':').replace(',:', ',')}>" if digests else "")
+    return map_arrow(narrow, rows, columns, 500, heavy="pcm").withColumnRenamed("_id", id_col)
 
 
-def media_digests(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Decodes media of ``texts_to_media`` again: payload size and digests, media size and digest, and a feature.
+def media_digests(media: DataFrame, id_col: str = "doc_id", scratch: Scratch | None = None, name: str = "blocks") -> DataFrame:
+    """(id, n_bytes, then the blocks' digests) of media of ``texts_to_media``, a row per stream.
 
-    The feature is "energy:crossings:peak" of the decoded samples, all integers: the sum of squares, the sign
-    changes, and the largest magnitude.
+    With ``scratch`` the PCM blocks are written there as ``name``, and the digests read from what was written.
     """
-    import zlib
+    keyed = media.select(F.struct(F.col(id_col).alias("id"), "n_bytes").alias("_key"), "media")
+    blocks = media_blocks(keyed, "_key", "media", digests=True)
+    blocks = scratch.keep(blocks, name) if scratch else blocks
+    return blocks.where("digest IS NOT NULL").select(F.col("_key.id").alias(id_col), F.col("_key.n_bytes").alias("n_bytes"), "digest.*")
 
-    kind = media.schema[id_col].dataType.simpleString()
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        sizes: list[int] = []
-
-        def noted() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sizes.extend(batch.column(2).to_pylist())
-                yield batch
-
-        at = 0
-        for ids, streams in _batched(noted(), 1, len):
-            for i, stream, (_, blocks) in zip(ids, streams, decode_streams(streams), strict=True):
-                x = np.concatenate([b[:, 0] for b in blocks])
-                payload = (x + 128).astype(np.uint8).tobytes()
-                feature = f"{int((x * x).sum())}:{int(np.count_nonzero(np.diff(x >= 0)))}:{int(np.abs(x).max())}"
-                yield {"_id": i, "n_bytes": sizes[at], "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-UNIT:]), "media_bytes": len(stream), "media_sha256": hashlib.sha256(stream).hexdigest(), "feature": feature}
-                at += 1
-
-    narrow = media.select(F.col(id_col).alias("_id"), "media", "n_bytes")
-    return map_arrow(narrow, rows, f"_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string", 2000).withColumnRenamed("_id", id_col)
+def store_media(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Stores each text as FLAC, reads the stored streams back into stored PCM blocks, and returns their ``media_digests``.
+
+    Media are hardly smaller than the texts, so they lie in scratch storage for one of ``rounds`` parts of the
+    documents at a time (by a hash of text and id; together the parts are all documents). Null and empty texts
+    give UNIT zero bytes; equal texts have equal values, repeated rows and null ids stay. An empty table gives no rows.
+    """
+    scratch = Scratch(docs.sparkSession, "flac")
+    parts = []
+    for r in range(rounds):
+        mine = docs.where(F.pmod(F.xxhash64(F.col(text_col), F.col(id_col)), F.lit(rounds)) == r)
+        media = scratch.keep(texts_to_media(mine, id_col, text_col), f"media{r}")
+        parts.append(scratch.keep(media_digests(media, id_col, scratch, f"blocks{r}"), f"digests{r}"))
+        scratch.drop(f"media{r}", f"blocks{r}")
+    return reduce(DataFrame.unionByName, parts)

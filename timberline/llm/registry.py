@@ -131,9 +131,9 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from timberline.llm.flac import media_digests, texts_to_media
+    from timberline.llm.flac import store_media
 
-    return media_digests(texts_to_media(table(spark, sf_dir, "documents", "doc_id", "text")))
+    return store_media(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 QUERIES |= {"op5_secrets": op5_secrets, "op6_flac": op6_flac}
