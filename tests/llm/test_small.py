@@ -194,6 +194,46 @@ def test_secrets(spark, docs, nothing):
     assert find_secrets(nothing).count() == 0 and redact_secrets(nothing).columns == docs.columns
 
 
+def test_unlabelled_credentials_are_found_by_their_format():
+    """Formats learned from labelled credentials: fresh ones of the same and of related formats, and ordinary runs."""
+    import string
+
+    from timberline.llm.secrets import SecretModel
+
+    rng = random.Random(14)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    alnum = string.ascii_letters + string.digits
+    formats = {
+        "access": lambda: "AKIA" + draw(string.ascii_uppercase + string.digits, 16),
+        "hex": lambda: draw("0123456789abcdef", 40),
+        "assign": lambda: "tk_" + draw(alnum, 36),
+    }
+    syllables = ["the", "an", "tion", "ing", "er", "ou", "st", "ha"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(4, 9)))
+    ordinary = [word() for _ in range(250)] + [word().capitalize() for _ in range(50)] + [draw(string.digits, rng.choice((12, 16))) for _ in range(60)] + [word().upper() for _ in range(60)]
+    model = SecretModel({k: [f() for _ in range(150)] for k, f in formats.items()}, ordinary)
+    assert all(len(a.states) > 15 for a in model.formats.values())  # length and prefix are kept
+    fresh = [f() for f in formats.values() for _ in range(100)] + [draw(alnum + "+/", 40) for _ in range(100)] + [draw("0123456789abcdef", 32) for _ in range(100)]
+    assert sum(map(model.is_secret, fresh)) >= 0.9 * len(fresh)
+    plain = [word() for _ in range(400)] + [word().upper() for _ in range(100)] + [draw(string.digits, 14) for _ in range(100)] + ["-" * 30, "=" * 40, "under_score_words_in_a_row", "a/path/of/several/parts"]
+    assert sum(map(model.is_secret, plain)) <= 0.01 * len(plain)
+
+
+def test_candidates_take_linear_time():
+    import time
+
+    from timberline.llm.secrets import base_spans, candidates
+
+    def seconds(n: int) -> float:
+        text = " ".join(f"token={'ab12' * 4} {'x1' * 12}" for _ in range(n))
+        spans, began = base_spans(text), time.perf_counter()
+        assert len(candidates(text, spans)) == n
+        return time.perf_counter() - began
+
+    seconds(500)
+    assert seconds(40_000) < 100 * max(seconds(2000), 0.002)
+
+
 # FLAC
 
 
@@ -228,7 +268,7 @@ def _stream(frames: bytes, channels: int, samples: int) -> bytes:
 
 
 def test_flac_round_trip_and_damage(docs, nothing):
-    from timberline.llm.flac import decode_streams, encode_streams, media_blocks, media_digests, padded, texts_to_media
+    from timberline.llm.flac import decode_streams, encode_streams, media_blocks, media_digests, padded, store_media, texts_to_media
 
     rng = np.random.default_rng(2)
     data = [padded(t) for t in TEXTS] + [bytes(4096), bytes(range(256)) * 40, rng.integers(0, 256, 9000).astype(np.uint8).tobytes(), b""]
@@ -241,13 +281,42 @@ def test_flac_round_trip_and_damage(docs, nothing):
         decode_streams([bytes(broken)])
     media = texts_to_media(docs)
     rows = {r["doc_id"]: r for r in media_digests(media).collect()}
+    stored = store_media(docs)
+    assert {r["doc_id"]: r for r in stored.collect()} == rows and len(rows) == len(TEXTS) + 1 and stored.columns == media_digests(media).columns
     for i, t in enumerate(TEXTS):
         p = padded(t)
         assert (rows[i]["n_bytes"], rows[i]["payload_bytes"], rows[i]["payload_sha256"], rows[i]["tail_crc32"]) == (len((t or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
     assert rows[4]["media_sha256"] == rows[5]["media_sha256"]
     blocks = [r for r in media_blocks(media).collect() if r["doc_id"] == 7]
     assert [(r["sample_offset"], r["n_samples"]) for r in sorted(blocks, key=lambda r: r["block"])] == [(0, 4096), (4096, 960)]
-    assert media_digests(texts_to_media(nothing)).count() == 0
+    assert media_digests(texts_to_media(nothing)).count() == 0 and store_media(nothing, 1).count() == 0
+
+
+def test_flac_of_a_long_text_in_bounded_memory(monkeypatch):
+    from timberline.llm import flac
+
+    rng = np.random.default_rng(3)
+    words = [rng.integers(97, 123, n).astype(np.uint8).tobytes() for n in rng.integers(1, 12, 4000)]
+    data = b" ".join(words[i] for i in rng.integers(0, 4000, 1_500_000).tolist())
+    data = data[: len(data) // 64 * 64] + b"x" * 64
+    import tracemalloc
+
+    tracemalloc.start()
+    (stream,) = flac.encode_streams([data])
+    peak = tracemalloc.get_traced_memory()[1]
+    whole, sizes, digest = hashlib.sha256(), [], flac._Digest()
+    tracemalloc.reset_peak()
+    for _, _, blocks, _ in flac.decode_blocks([stream]):
+        for block in blocks:
+            digest.add(block)
+            whole.update((block[:, 0] + 128).astype(np.uint8).tobytes())
+            sizes.append(len(block))
+    peak = max(peak, tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    assert whole.digest() == hashlib.sha256(data).digest() and sum(sizes) == len(data) and set(sizes[:-1]) == {flac.FRAME}
+    x = np.frombuffer(data, np.uint8).astype(np.int64) - 128
+    assert digest.row(stream)["feature"] == f"{(x * x).sum()}:{np.count_nonzero(np.diff(x >= 0))}:{np.abs(x).max()}"
+    assert peak < 5 * len(data) + (300 << 20)
 
 
 def test_flac_subframe_kinds():
@@ -387,6 +456,41 @@ def test_near_duplicates_equal_a_plain_search(spark, docs, nothing, monkeypatch)
     assert neardup.near_duplicates(nothing).count() == 0
 
 
+def test_copies_under_one_id_lose_no_text(spark, nothing):
+    from timberline.llm.neardup import drop_near_duplicates
+
+    a, b, c = "one two three four five six seven", "eight nine ten eleven twelve thirteen", "un deux trois quatre cinq six"
+    rows = [(3, b, "x"), (5, a, "x"), (5, b, "x"), (6, a, "x"), (7, c, "y"), (7, c, "x"), (7, f" {c}", "x"), (8, "", "x"), (8, "", "x"), (None, a, "x"), (None, a, "x"), (9, None, "x")]
+    df = spark.createDataFrame([(i, t, s, s) for i, t, s in rows], "doc_id bigint, text string, _m_id string, key string")
+    got = sorted(((r["doc_id"] or -1), (r["text"] or "").strip(), r["key"]) for r in drop_near_duplicates(df).collect())
+    assert got == sorted([(3, b, "x"), (5, a, "x"), (7, c, got[[g[0] for g in got].index(7)][2]), (8, "", "x"), (8, "", "x"), (-1, a, "x"), (-1, a, "x"), (9, "", "x")])
+    assert drop_near_duplicates(nothing).count() == 0
+
+
+def test_long_lists_lose_no_link(spark, monkeypatch):
+    """A large group of near copies of which few are near each other, and texts that only share a passage."""
+    from timberline.llm import neardup
+
+    rng = random.Random(19)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    base, texts = [word() for _ in range(120)], []
+    for _ in range(70):
+        copy = list(base)
+        for _ in range(rng.randint(0, 3)):
+            copy[rng.randrange(120)] = word()
+        texts.append(" ".join(copy))
+    texts += [" ".join(base[:25] + [word() for _ in range(rng.randint(5, 30))]) for _ in range(60)]
+    sizes, roots = _plain_components(texts)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "PIVOT_PAIRS", 5)
+    for long, pivots in ((40, 3), (3, 1)):
+        monkeypatch.setattr(neardup, "LONG_LIST", long)
+        monkeypatch.setattr(neardup, "PIVOTS", pivots)
+        rows = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df).collect())
+        assert rows == [(i, n, root) for i, (n, root) in enumerate(zip(sizes, roots, strict=True))]
+
+
 def test_shared_hashes_bound():
     from timberline.llm.neardup import MISS, fewest_shared
 
