@@ -1,6 +1,6 @@
 """URL filter: a sort-merge range join between URLs and host/path rules.
 
-A host is keyed by its labels in reverse order (``blog.example.com`` -> ``com,example,blog,``), so the
+A host is keyed by its labels in reverse order (``blog.example.com`` -> ``com.example.blog.``; no label holds the separator), so the
 hosts below a rule's host are one interval of the key order, and intervals of different rules are either
 nested or disjoint. URLs are range-partitioned and sorted by that key; each partition sweeps once over
 its URLs and the sorted rules, keeping the stack of rule hosts whose interval is open. A rule's
@@ -23,7 +23,7 @@ RULES_PER_SWEEP = 200_000
 
 
 def host_key(host: str) -> str:
-    return ",".join(reversed(host.split("."))) + "," if host else ""
+    return ".".join(reversed(host.split("."))) + "." if host else ""
 
 
 @dataclass
@@ -90,7 +90,7 @@ def judge_urls(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_c
     An empty table gives an empty result.
     """
     narrow = split_url(urls.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url")), "_url").drop("_url")
-    key = F.when(F.col("host") == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split("host", "\\.", -1)), ","), F.lit(",")))
+    key = F.when(F.col("host") == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split("host", "\\.", -1)), "."), F.lit(".")))
     # The path and the id are part of the range key: one host with a third of all rows is cut into many ranges.
     narrow = narrow.withColumn("_key", key).repartitionByRange("_key", "path", "_id").sortWithinPartitions("_key", "path")
     rules = rules.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("host", "path", "verdict")))
