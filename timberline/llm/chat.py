@@ -75,6 +75,26 @@ def turns_as_events(turns: DataFrame) -> DataFrame:
     return numbered.select("conv_id", "message", "role", "tie", F.explode(parts).alias("e")).select("conv_id", "message", "role", "tie", "e.seq", "e.kind", "e.payload")
 
 
+def turns_as_log(turns: DataFrame) -> DataFrame:
+    """Rows (conv_id, turn, role, text) as the log of how their texts could have come about, which ends in the same texts.
+
+    Each message streams in two deltas. Assistant messages break off after the first, are regenerated and
+    stream again; of the others those with an even turn get a further delta, and are edited to their text at last.
+    """
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    first, rest = F.substr(text, F.lit(1), half), F.substr(text, half + 1)
+    event = lambda seq, kind, payload: F.struct(F.lit(seq).cast("bigint").alias("seq"), F.lit(kind).alias("kind"), payload.cast("string").alias("payload"))
+    none = F.lit(None)
+    plain = [event(0, "start", none), event(1, "delta", first), event(5, "delta", rest)]
+    again = [event(0, "start", none), event(1, "delta", first), event(2, "regenerate", none), event(3, "delta", first), event(5, "delta", rest)]
+    edited = [*plain, event(6, "delta", F.lit(" (draft)")), event(7, "edit", text)]
+    parts = F.when(F.col("role") == LEARNED_ROLE, F.array(*again)).when(F.col("turn") % 2 == 0, F.array(*edited)).otherwise(F.array(*plain))
+    tie = F.concat_ws("|", F.coalesce("role", F.lit("")), F.sha2(text, 256), F.monotonically_increasing_id().cast("string"))
+    numbered = turns.select("conv_id", F.col("turn").cast("bigint").alias("message"), F.coalesce("role", F.lit("")).alias("role"), tie.alias("tie"), parts.alias("parts"))
+    return numbered.select("conv_id", "message", "role", "tie", F.explode("parts").alias("e")).select("conv_id", "message", "role", "tie", "e.seq", "e.kind", "e.payload")
+
+
 @dataclass
 class _Conversation:
     """What is open while one conversation streams past."""

@@ -8,19 +8,20 @@ hit goes back to word numbers and to code-point offsets of the original text. Do
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.common import filter_rows, for_worker, map_arrow, texts_of
+from timberline.llm.common import Scratch, filter_rows, for_worker, map_arrow, texts_of
 
 #: Consecutive words of a window.
 WINDOW = 10
-#: Benchmark items of one automaton; a larger benchmark takes a further pass for each further block.
-ITEMS_PER_PASS = 100_000
+#: Items and bytes of benchmark text of one automaton (which has about ten nodes for a byte); a larger benchmark takes
+#: further passes, each over what the one before wrote.
+ITEMS_PER_PASS, BYTES_PER_PASS = 100_000, 1 << 20
 
 #: Bytes to bytes: A-Z to lower case, other ASCII than letters and digits to a space.
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -100,17 +101,28 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     """
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.lit(0).cast("bigint").alias("n_words"), F.expr("cast(array() as array<int>)").alias("_ranges"), F.expr("cast(array() as array<string>)").alias("items"))
-    n_items = benchmark.count()
-    blocks = max(1, -(-n_items // ITEMS_PER_PASS))
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text"))
-    for b in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-        out = _scanned(out, [tuple(r) for r in part.collect()], kind, size, b == blocks - 1, keep_text)
+    scratch = Scratch(docs.sparkSession, "contamination")
+    parts = _blocks(benchmark)
+    for b, items in enumerate(parts):
+        last = b == len(parts) - 1
+        out = _scanned(out, items(), kind, size, last, keep_text)
+        if not last:
+            out = scratch.keep(out, f"pass{b}")
+            scratch.drop(f"pass{b - 1}")
     return out.withColumnRenamed("_id", id_col).withColumnRenamed("_text", text_col)
 
 
+def _blocks(benchmark: DataFrame) -> list[Callable[[], list[tuple[str, str | None]]]]:
+    """For each pass, a function that collects its (item id, text) pairs, of about as many bytes as a pass may have."""
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text"))
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // ITEMS_PER_PASS), -(-size // BYTES_PER_PASS))
+    part = lambda b: rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
+    return [lambda b=b: [tuple(r) for r in part(b).collect()] for b in range(blocks)]
+
+
 def _scanned(df: DataFrame, items: list[tuple[str, str | None]], kind: str, size: int, last: bool, keep_text: bool) -> DataFrame:
-    name = hashlib.sha256(repr((size, sorted(items, key=repr))).encode()).hexdigest()
+    name = _name(items, size)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         scanner = for_worker(("scanner", name), lambda: Scanner(items, size))
@@ -138,19 +150,31 @@ def _scanned(df: DataFrame, items: list[tuple[str, str | None]], kind: str, size
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", size: int = WINDOW) -> DataFrame:
-    """The documents in which no benchmark window occurs, with all their columns."""
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text"))
-    blocks = max(1, -(-benchmark.count() // ITEMS_PER_PASS))
-    for b in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-        docs = _clean(docs, [tuple(r) for r in part.collect()], text_col, size)
+    """The documents in which no benchmark window occurs, with all their columns, whatever their names.
+
+    Null and empty texts stay; equal texts stay or go alike, repeated rows and null ids stay by their texts. An
+    empty benchmark drops nothing, an empty table gives an empty one.
+    """
+    scratch = Scratch(docs.sparkSession, "clean")
+    parts = _blocks(benchmark)
+    for b, items in enumerate(parts):
+        docs = _clean(docs, items(), text_col, size)
+        if b < len(parts) - 1:
+            docs = scratch.keep(docs, f"pass{b}")
+            scratch.drop(f"pass{b - 1}")
     return docs
 
 
+def _name(items: list[tuple[str, str | None]], size: int) -> str:
+    return hashlib.sha256(repr((size, sorted(items, key=repr))).encode()).hexdigest()
+
+
 def _clean(docs: DataFrame, items: list[tuple[str, str | None]], text_col: str, size: int) -> DataFrame:
+    name = _name(items, size)
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bool]]]:
-        scanner = Scanner(items, size)
+        scanner = for_worker(("scanner", name), lambda: Scanner(items, size))
         for batch in batches:
             yield batch, [not scanner.scan(normal_words(t))[0] for _, texts in texts_of(batch, text_col) for t in texts]
 
-    return filter_rows(docs, keep)
+    return filter_rows(docs, keep, keeps=True)

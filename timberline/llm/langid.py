@@ -26,6 +26,8 @@ DIMENSIONS = 16
 SIZES = (1, 2, 3, 4)
 #: Labelled rows of each language in the training sample (about; taken by hash over all labelled rows).
 SAMPLE_ROWS = 600
+#: Bits of the hash by which rows are chosen.
+HASH_BITS = 48
 #: Code points of the window that a training row gives, at a place set by its hash.
 SAMPLE_CHARS = 3000
 EPOCHS = 6
@@ -181,15 +183,21 @@ def _calibrated(model: LanguageModel, held: list[tuple[str, str]]) -> LanguageMo
 
 
 def training_sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """About SAMPLE_ROWS (window, language) pairs of each language, chosen by hash from all rows with text and language."""
+    """About SAMPLE_ROWS (window, language) pairs of each language, chosen by hash from all rows with text and language.
+
+    At most twice as many are taken for each language together, those with the least hashes, so that many rows
+    with one id and length cannot make the sample grow.
+    """
     usable = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit(11), F.col(id_col), F.length(text_col)).alias("h"))
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
-    share = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, SAMPLE_ROWS / n))))
-    chosen = usable.where(F.pmod("h", F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
+    # The share of each language as a bound on a hash of HASH_BITS bits: fine enough for any number of rows.
+    bounds = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1 << HASH_BITS, -(-(SAMPLE_ROWS << HASH_BITS) // n)))))
+    chosen = usable.withColumn("place", F.pmod("h", F.lit(1 << HASH_BITS))).where(F.col("place") < F.element_at(bounds, F.col("lang")))
     start = F.pmod(F.col("h"), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1)).cast("bigint")).cast("int")
-    return [(r["text"], r["lang"]) for r in chosen.select(F.col("text").substr(start + 1, F.lit(SAMPLE_CHARS)).alias("text"), "lang").collect()]
+    window = chosen.select("place", F.col("text").substr(start + 1, F.lit(SAMPLE_CHARS)).alias("text"), "lang")
+    return [(r["text"], r["lang"]) for r in window.orderBy("place", "lang", "text").limit(2 * SAMPLE_ROWS * len(counts)).collect()]
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,7 +223,11 @@ def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
 
 
 def drop_rejected(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """The documents whose prediction is not rejected, with all their columns."""
+    """The documents whose prediction is not rejected, with all their columns, whatever their names.
+
+    Null, empty and letterless texts go. Equal texts stay or go alike, repeated rows and null ids stay by their
+    texts; a very long text is judged as a whole. An empty table gives an empty one.
+    """
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bool]]]:

@@ -24,6 +24,8 @@ from timberline.llm.common import Scratch, map_arrow, small_batches
 ORDER = 4
 #: Bytes of text in a chunk (a longer text is a chunk of its own).
 CHUNK = 8 << 20
+#: Cells of a chunk's table of probabilities at most, and bytes of a text that are looked up at once.
+TABLE_CELLS, PIECE = 1 << 24, 1 << 18
 #: A document is kept if its perplexity is at most this quantile of its language's trusted documents; chosen on held-out labels (README).
 QUANTILE = 0.985
 UNKNOWN = "und"
@@ -153,7 +155,8 @@ def chunk_scores(texts: list[bytes], codes: np.ndarray, logp: np.ndarray) -> lis
     """The mean log probability of each text's bytes; None for empty texts.
 
     The chunk's probabilities are laid out as a table of contexts by last byte; contexts are found by
-    direct address after their bytes were renumbered without gaps.
+    direct address after their bytes were renumbered without gaps. Where the table would have more than
+    TABLE_CELLS cells (many scripts in one chunk), n-grams are found by binary search, a piece of the text at a time.
     """
     flat = ngram_codes(texts)
     if not len(flat):
@@ -169,16 +172,22 @@ def chunk_scores(texts: list[bytes], codes: np.ndarray, logp: np.ndarray) -> lis
         return out
 
     contexts, place = np.unique(context(codes), return_inverse=True)
-    dense = np.zeros(len(seen) ** (ORDER - 1), np.int32)
-    dense[contexts] = np.arange(len(contexts), dtype=np.int32)
-    table = np.zeros((len(contexts), len(seen)), np.float64)
-    table[place, rank[codes & 255]] = logp
+    if len(contexts) * len(seen) <= TABLE_CELLS:
+        dense = np.zeros(len(seen) ** (ORDER - 1), np.int32)
+        dense[contexts] = np.arange(len(contexts), dtype=np.int32)
+        table = np.zeros((len(contexts), len(seen)), np.float64)
+        table[place, rank[codes & 255]] = logp
+        found = lambda part: table[dense[context(part)], rank[part & np.uint32(255)]]
+    else:
+        order = np.argsort(codes)
+        known, values = codes[order].astype(np.uint32), logp[order]
+        found = lambda part: values[np.searchsorted(known, part)]
     out: list[float | None] = []
     at = 0
     for t in texts:
-        part = flat[at : at + len(t)]
+        total = sum(float(found(flat[a : min(a + PIECE, at + len(t))]).sum()) for a in range(at, at + len(t), PIECE))
         at += len(t)
-        out.append(float(table[dense[context(part)], rank[part & np.uint32(255)]].mean()) if len(part) else None)
+        out.append(total / len(t) if t else None)
     return out
 
 

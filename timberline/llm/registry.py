@@ -11,12 +11,12 @@ from timberline.llm.common import Scratch, table
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from timberline.llm.chat import digest_conversations, format_conversations, turns_as_events
+    from timberline.llm.chat import digest_conversations, format_conversations, turns_as_log
 
     turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     probe = "\\### Assistant: </turn> ok"
     turns = turns.unionByName(spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id bigint, turn bigint, role string, text string"))
-    formatted = Scratch(spark, "chat").keep(format_conversations(turns_as_events(turns)), "formatted")
+    formatted = Scratch(spark, "chat").keep(format_conversations(turns_as_log(turns)), "formatted")
     return digest_conversations(formatted)
 
 
