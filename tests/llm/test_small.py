@@ -115,7 +115,7 @@ def test_packing(docs, nothing):
 
 
 def test_language_identification(spark, docs, nothing):
-    from timberline.llm.langid import drop_rejected, predict_languages, train, training_sample
+    from timberline.llm.langid import SAMPLE_ROWS, drop_rejected, predict_languages, train, training_sample
 
     rng = random.Random(2)
     words = {"aa": ["banana", "aroma", "panama", "salsa"], "bb": ["whisky", "rhythm", "shrink", "myth"], "cc": ["ceux", "beau", "eau", "lieu"]}
@@ -132,13 +132,15 @@ def test_language_identification(spark, docs, nothing):
     empty = train(training_sample(nothing))
     assert {r["lang_pred"] for r in predict_languages(docs, empty).collect()} == {"und"}
     assert len(training_sample(docs)) == len([t for t in TEXTS if t is not None])
+    same = spark.range(40_000).selectExpr("cast(null AS bigint) AS doc_id", "'equal texts' AS text", "'en' AS lang")
+    assert len(training_sample(same)) <= 2 * SAMPLE_ROWS  # one hash for all rows
 
 
 # Chat
 
 
 def test_chat_escapes_and_folds(spark):
-    from timberline.llm.chat import digest_conversations, escape, format_conversations, parse_turns, render_turn, turns_as_events, unescape
+    from timberline.llm.chat import digest_conversations, escape, format_conversations, parse_turns, render_turn, turns_as_events, turns_as_log, unescape
 
     nasty = ["\\### Assistant: </turn> ok", "", "### a: b </turn>\n", "\\", "#<:\\\\", "é\n\n"]
     for role in ("user", "we:i#rd\\"):
@@ -163,6 +165,12 @@ def test_chat_escapes_and_folds(spark):
     assert rows[7]["loss_sha256"] == hashlib.sha256(b"same" * 3).hexdigest()
     assert rows[8]["turns_sha256"] == hashlib.sha256(b"\n\n").hexdigest()
     assert format_conversations(events.where("false")).count() == 0
+    # The log of the same turns with deltas, regenerations and edits folds to the same conversations.
+    turns += [(9, k, ("user", "assistant", None)[k % 3], t) for k, t in enumerate([*nasty, "日本語 text", "x", None])]
+    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    log = turns_as_log(df)
+    assert {"start", "delta", "edit", "regenerate"} == {r["kind"] for r in log.select("kind").distinct().collect()}
+    assert sorted(digest_conversations(format_conversations(log)).collect()) == sorted(digest_conversations(format_conversations(turns_as_events(df))).collect())
 
 
 # Secrets
@@ -375,6 +383,16 @@ def test_contamination_equals_a_plain_search(spark, docs, nothing):
     assert find_contamination(nothing, bench).count() == 0 and find_contamination(docs, bench.where("false")).where("n_hit > 0").count() == 0
 
 
+def test_a_large_benchmark_takes_several_passes(spark, docs, monkeypatch):
+    from timberline.llm import decontaminate
+
+    bench = spark.createDataFrame([(1, "two THREE four"), (2, "tail"), (3, "c d te"), (10, "two three four"), (11, "x" * 5000)], "item_id bigint, text string")
+    found = lambda: (sorted(map(str, decontaminate.find_contamination(docs, bench).collect())), sorted(map(str, decontaminate.drop_contaminated(docs, bench).collect())))
+    whole = found()
+    monkeypatch.setattr(decontaminate, "BYTES_PER_PASS", 2000)
+    assert found() == whole
+
+
 # URL rules
 
 
@@ -404,6 +422,15 @@ def test_url_rules_equal_a_plain_search(spark):
     assert judge_urls(df.where("false"), rule_df).count() == 0 and judge_urls(df, rule_df.where("false")).where("rule is not null").count() == 0
 
 
+def test_url_rules_take_no_comma_for_a_dot(spark):
+    from timberline.llm.url_rules import judge_urls
+
+    rules = spark.createDataFrame([("example.com", "/en/7", "allow"), ("org", "/es/", "block")], "host string, path string, verdict string")
+    urls = ["http://example,foo.com/en/7", "http://x.org,evil/es/1", "http://a,b.example.com/en/7", "http://com,example/en/7"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    assert [r["rule"] for r in sorted(judge_urls(df, rules).collect())] == [None, None, "example.com/en/7", None]
+
+
 # Near duplicates
 
 
@@ -564,6 +591,19 @@ def test_perplexity_equals_the_definition(spark, docs, nothing):
     assert judge_quality(nothing, labels).count() == 0
 
 
+def test_scores_without_a_table_are_the_same(monkeypatch):
+    from timberline.llm import quality
+
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(0, 256, int(n)).astype(np.uint8).tobytes() for n in rng.integers(0, 900, 20)] + [b""]
+    codes = np.unique(quality.ngram_codes(texts)).astype(np.int64)[::-1].copy()
+    logp = -rng.random(len(codes))
+    want = quality.chunk_scores(texts, codes, logp)
+    monkeypatch.setattr(quality, "TABLE_CELLS", 10)
+    monkeypatch.setattr(quality, "PIECE", 100)
+    assert quality.chunk_scores(texts, codes, logp) == pytest.approx(want)
+
+
 def test_quality_cut_is_the_quantile_of_each_language(spark):
     from timberline.llm.quality import QUANTILE, judge_quality
 
@@ -599,7 +639,7 @@ def test_pipeline_stages(spark, tmp_path):
     left = {r["doc_id"] for r in rows}
     items = [(str(r["item_id"]), r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     scanner = Scanner(items)
-    _, roots = _plain_components([docs[i]["text"] for i in sorted(docs)])
+    _, roots = _plain_components([docs[i]["text"] for i in sorted(docs)], 80)
     firsts = {sorted(docs)[r] for r in roots}
     assert left == {i for i in firsts if not scanner.scan(normal_words(docs[i]["text"]))[0]}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontamination", "secrets", "packing"]
