@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timberline.llm.common import Scratch, table
+from timberline.llm.common import Scratch, discarding, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,10 +21,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of exact and near copies."""
+    """Keeps one document of each group of exact and near copies: five-word shingles, a similarity of 0.8 or more."""
     from timberline.llm.neardup import drop_near_duplicates
 
-    return drop_near_duplicates(docs)
+    return drop_near_duplicates(docs, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,9 +63,16 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages to ``documents``; what each returns is written, and read again by the next."""
+    """Applies all stages to ``documents``; what each returns is written, and read again by the next.
+
+    A stage's own scratch tables go once its result is written, and that result once the next stage's is.
+    """
     scratch = Scratch(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        with discarding(spark):
+            docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return docs
