@@ -1,19 +1,23 @@
 """Correlation of records into commands: the one ordered, stateful stage.
 
-``Correlator`` holds the running command of each process id and a few clocks. ``correlate`` streams the records of
-each log through it in line order with memory for the running commands only.
+``records_of`` frames and recognises runs of lines, in parallel within a log too; what leaves a run is small records
+and the lines of blocks that are cut by its edges. ``Correlator`` holds the running command of each process id and a few
+clocks. ``correlate`` streams the records of each log through it in line order with memory for the running commands only.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from timberline.operators.records import is_real_table, lacks_completion, new_command, recognise
+from timberline.operators.framing import RUN_LINES, Framer
+from timberline.operators.records import is_block_end, is_real_table, lacks_completion, new_command, packed, recognise, unpacked
 from timberline.plans import schemas as S
 
 #: Running commands beyond which a log is taken to lack completion records.
@@ -241,21 +245,72 @@ def finished(command: dict, unending: bool) -> dict:
     return row
 
 
-def correlate(blocks: DataFrame, options: Options | None = None) -> DataFrame:
-    """(log_id, emitted, command, event) of blocks (log_id, line_no, btype, lines array<binary>).
+def records_of(lines: DataFrame) -> DataFrame:
+    """(log_id, line_no, place, record, raw) of lines (log_id, line_no, value), by runs of RUN_LINES line numbers.
+
+    ``record`` is a packed record of the block that starts at ``line_no``. ``raw`` are the lines before a run's first
+    block end, or those of its last block: whether that is complete, the next run tells.
+    """
+    run = F.floor(F.col("line_no") / RUN_LINES).cast("bigint")
+    narrow = lines.where(F.col("value").isNotNull()).select("log_id", run.alias("run"), F.col("line_no").cast("bigint").alias("line_no"), F.col("value").cast("binary").alias("value"))
+    ordered = narrow.repartition("log_id", "run").sortWithinPartitions("log_id", "run", "line_no")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        key, framer, edge, opened = None, Framer(), [], False
+
+        def close(key: tuple) -> Iterator[tuple]:
+            if edge:
+                yield key[0], edge[0][0], 0, None, pickle.dumps(edge, pickle.HIGHEST_PROTOCOL)
+
+        for batch in batches:
+            logs, runs, numbers, values = (batch.column(i).to_pylist() for i in range(4))
+            for log, run, n, value in zip(logs, runs, numbers, values, strict=True):
+                if (log, run) != key:
+                    if key:
+                        yield from close(key)
+                    key, framer, edge, opened = (log, run), Framer(), [], False
+                line = value.decode("utf-8", "surrogateescape")
+                if is_block_end(line):
+                    if not opened:
+                        yield from close(key)
+                    opened, edge = True, []
+                edge.append((n, line))
+                if opened and (block := framer.feed(n, line)):
+                    for place, record in enumerate(recognise(block[1], block[0], block[2])):
+                        yield log, block[0], place, packed(record), None
+        if key:
+            yield from close(key)
+
+    schema = pa.schema([("log_id", pa.string()), ("line_no", pa.int64()), ("place", pa.int32()), ("record", pa.binary()), ("raw", pa.binary())])
+
+    def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for row in rows(batches):
+            held.append(row)
+            if len(held) >= 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema, strict=True)], schema=schema)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema, strict=True)], schema=schema)
+
+    return ordered.mapInArrow(run_all, "log_id string, line_no bigint, place int, record binary, raw binary")
+
+
+def correlate(records: DataFrame, options: Options | None = None) -> DataFrame:
+    """(log_id, emitted, command, event) of ``records_of`` lines.
 
     Logs are independent; within one, the order decides the result, so its records pass through one task,
     as a stream. ``emitted`` numbers the output of a log.
     """
     options = options or Options()
-    ordered = blocks.repartition("log_id").sortWithinPartitions("log_id", "line_no")
+    ordered = records.repartition("log_id").sortWithinPartitions("log_id", "line_no", "place")
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(S.OUTPUT_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
-        log, state, n = None, None, 0
+        log, state, framer, n = None, None, Framer(), 0
 
         def put(results: list[tuple[str, dict]]) -> None:
             nonlocal n
@@ -263,20 +318,31 @@ def correlate(blocks: DataFrame, options: Options | None = None) -> DataFrame:
                 held.append({"log_id": log, "emitted": n, "command": None, "event": None, kind: row})
                 n += 1
 
+        def put_block(block: tuple[int, str, list[str]] | None) -> None:
+            for record in recognise(block[1], block[0], block[2]) if block else ():
+                put(state.feed(record))
+
+        def finish() -> None:
+            put_block(framer.close())
+            put(state.drain())
+
         for batch in batches:
-            for b in batch.to_pylist():
-                if state is None or b["log_id"] != log:
+            for name, record, raw in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                if state is None or name != log:
                     if state:
-                        put(state.drain())
-                    log, state, n = b["log_id"], Correlator(options), 0
-                lines = [v.decode("utf-8", "surrogateescape") for v in b["lines"]]
-                for record in recognise(b["btype"], b["line_no"], lines):
-                    put(state.feed(record))
-            if len(held) >= 1000:
-                yield pa.RecordBatch.from_pylist(_clean(held), schema=schema)
-                held = []
+                        finish()
+                    log, state, framer, n = name, Correlator(options), Framer(), 0
+                if raw is not None:
+                    for line_no, line in pickle.loads(raw):
+                        put_block(framer.feed(line_no, line))
+                else:
+                    put_block(framer.close())
+                    put(state.feed(unpacked(record)))
+                if len(held) >= 1000:
+                    yield pa.RecordBatch.from_pylist(_clean(held), schema=schema)
+                    held = []
         if state:
-            put(state.drain())
+            finish()
         if held:
             yield pa.RecordBatch.from_pylist(_clean(held), schema=schema)
 

@@ -1,4 +1,7 @@
-"""Lines to blocks: the text between two block ends, typed by its first line."""
+"""Lines to blocks: the text between two block ends, typed by its first line.
+
+``frame`` does it for a table of lines, ``Framer`` line by line.
+"""
 
 from __future__ import annotations
 
@@ -63,3 +66,30 @@ def frame(lines: DataFrame) -> DataFrame:
     blocks = blocks.withColumn("btype", block_type(F.col("ls")[0]["v"].cast("string")))
     body = F.when(F.col("btype").isin("active", "paused", "pressure"), F.col("ls")).otherwise(F.slice("ls", 2, F.greatest(F.size("ls") - 1, F.lit(0))))
     return blocks.select("log_id", "line_no", "btype", F.transform(body, lambda s: s["v"]).alias("lines")).where(F.size("lines") > 0)
+
+
+class Framer:
+    """Blocks of one log's lines as they come: (line number, type, lines)."""
+
+    def __init__(self):
+        self.block: tuple[int, list[str]] | None = None
+        self.kind = "blank"
+
+    def feed(self, line_no: int, line: str) -> tuple[int, str, list[str]] | None:
+        """Takes a line; returns the block that it ends, if that has lines."""
+        done = self.close() if R.is_block_end(line) else None
+        if line.startswith(R.IGNORED_PREFIXES):
+            return done
+        if self.block is None:
+            self.block, self.kind = (line_no, []), "blank"
+        if self.kind == "blank":
+            self.kind = R.block_type(line)
+            if self.kind in ("active", "paused", "pressure"):
+                self.block[1].append(line)
+        else:
+            self.block[1].append(line)
+        return done
+
+    def close(self) -> tuple[int, str, list[str]] | None:
+        block, self.block = self.block, None
+        return (block[0], self.kind, block[1]) if block and block[1] else None

@@ -7,8 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timberline.operators.correlate import Options, correlate
-from timberline.operators.framing import frame
+from timberline.operators.correlate import Options, correlate, records_of
 from timberline.plans import schemas as S
 
 
@@ -42,4 +41,4 @@ def build_tables(parsed: DataFrame) -> Tables:
 
 def parse_log(lines: DataFrame, options: Options | None = None) -> DataFrame:
     """Lines to the output of the correlation."""
-    return correlate(frame(lines), options)
+    return correlate(records_of(lines), options)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.functions import scalars
+from timberline.operators import records as R
 from timberline.operators.framing import frame
 from timberline.operators.tables import build_tables, parse_log
 from timberline.plans import binding, dashboard, locks, metrics, proxy, rendered
@@ -108,28 +110,37 @@ def b05(spark, d):
     return frame(rendered.lines(spark, d)).select("log_id", "line_no", "btype", F.size("lines").alias("n"))
 
 
-@_add("b06_block_types", _C + "SELECT 'info' AS btype, count(*) * 4 AS n FROM c")
-def b06(spark, d):
-    return frame(rendered.lines(spark, d)).groupBy("btype").agg(F.count("*").alias("n"))
+def _decoded(spark: SparkSession, d: str, kind: str, fields: str, values: Callable[[tuple], list[tuple]]) -> DataFrame:
+    """(log_id, line_no, fields...) of the parser's own records of a kind."""
+    blocks = frame(rendered.lines(spark, d))
+
+    def decode(batches):
+        for batch in batches:
+            found = [(b["log_id"], b["line_no"], *v) for b in batch.to_pylist() for r in R.recognise(b["btype"], b["line_no"], [x.decode() for x in b["lines"]]) if r[0] == kind for v in values(r)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=[f"c{i}" for i in range(len(found[0]))])
 
+    columns = ["log_id string", "line_no bigint", *fields.split(", ")]
+    out = blocks.mapInArrow(decode, ", ".join(f"c{i} {c.split()[1]}" for i, c in enumerate(columns)))
+    return out.toDF(*(c.split()[0] for c in columns))
 
-_HEAD = r"(?d)^\t(\d{4}/\d\d/\d\d \d\d:\d\d:\d\d) pid (\d+) "
+
+@_add("b06_block_types", oracle(f"SELECT * FROM (WITH c AS ({rendered.DUCK_COMMANDS}) SELECT 'info' AS btype, count(*) * 4 AS n FROM c UNION ALL SELECT 'error', count(*) FROM c WHERE k % 9 = 0 UNION ALL SELECT CASE lineNumber % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'paused' ELSE 'pressure' END, count(*) FROM svr_events GROUP BY 1)", "svr_events"))
+def b06(spark, d):
+    errors = rendered.commands(spark, d).where("k % 9 = 0").selectExpr("concat('error', log_id) AS log_id", "k * 3 AS k").selectExpr("log_id", "posexplode(array('Perforce server error:', concat(char(9), 'Pid ', k), '')) AS (i, value)", "k").selectExpr("log_id", "k + i AS line_no", "value")
+    lines = rendered.lines(spark, d).unionByName(errors).unionByName(rendered.event_lines(spark, d).selectExpr("concat('event', log_id) AS log_id", "line_no", "value"))
+    return frame(lines).groupBy("btype").agg(F.count("*").alias("n"))
 
 
-@_add("r01_start", _C + f"SELECT log_id, place * {rendered.LINES} + i AS line_no, k AS pid, 'user' || k % 50 AS user, cmd FROM c, (SELECT unnest([2, 11]) AS i)")
+@_add("r01_start", _C + f"SELECT log_id, place * {rendered.LINES} + i AS line_no, k AS pid, 'user' || k % 50 AS user, cmd FROM c, (SELECT unnest([1, 10]) AS i)")
 def r01(spark, d):
-    rows = rendered.lines(spark, d).where(F.col("value").startswith("\t"))
-    pattern = _HEAD + r"([^ @]*)@([^ ]*) ([^ ]*) \[(.*?)\] '([\w-]+) (.*)'"
-    got = lambda i: F.regexp_extract("value", pattern, i)
-    return rows.where(F.col("value").rlike(pattern)).select("log_id", "line_no", got(2).cast("bigint").alias("pid"), got(3).alias("user"), got(7).alias("cmd"))
+    return _decoded(spark, d, "start", "pid bigint, user string, cmd string", lambda r: [(r[1]["pid"], r[1]["user"], r[1]["cmd"])])
 
 
-@_add("r05_completed", _C + f"SELECT log_id, place * {rendered.LINES} + 8 AS line_no, k AS pid, ended AS at, cast(lapse_ms AS double) / 1000 AS lapse FROM c")
+@_add("r05_completed", _C + f"SELECT log_id, place * {rendered.LINES} + 7 AS line_no, k AS pid, ended AS at, round(lapse_ms / 1000.0e0, 3) AS lapse FROM c")
 def r05(spark, d):
-    pattern = _HEAD + r"completed ([0-9]+\.[0-9]+|\.[0-9]+|[0-9]+)s"
-    got = lambda i: F.regexp_extract("value", pattern, i)
-    rows = rendered.lines(spark, d).where(F.col("value").startswith("\t") & F.col("value").rlike(pattern))
-    return rows.select("log_id", "line_no", got(2).cast("bigint").alias("pid"), scalars.parse_time(got(1)).alias("at"), got(3).cast("double").alias("lapse"))
+    rows = _decoded(spark, d, "completed", "pid bigint, at string, lapse double", lambda r: [(r[2], r[3].strftime("%Y/%m/%d %H:%M:%S"), r[4])])
+    return rows.withColumn("at", scalars.parse_time(F.col("at"))).withColumn("lapse", F.round("lapse", 3))
 
 
 @_add("c01_process", _C + f"SELECT log_id, md5({rendered.DUCK_LINE}) AS processkey, place * {rendered.LINES} + 1 AS lineNumber, k AS pid, started AS startTime, ended AS endTime, round(compute_ms / 1000.0e0, 3) AS computedLapse, round(lapse_ms / 1000.0e0, 3) AS completedLapse, 'user' || k % 50 AS user, cmd, '//depot/' || k || '/...' AS args, k % 1000 AS uCpu, k % 9000 AS maxRss, 1 AS running, false AS error FROM c")

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import gzip
+import io
 from collections.abc import Iterator
+from itertools import islice
+from urllib.parse import unquote, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,7 +32,7 @@ def read_lines(spark: SparkSession, paths: list[str], log_id: str = "log", max_l
     order = {p: i for i, p in enumerate(paths)}
     parts = []
     for path, seq in order.items():
-        df = spark.read.text(path).select(F.lit(seq).alias("seq"), "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("m"), "value")
+        df = spark.read.option("lineSep", "\n").text(path).select(F.lit(seq).alias("seq"), "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("m"), "value")
         parts.append(df)
     rows = parts[0]
     for df in parts[1:]:
@@ -46,22 +49,31 @@ def read_lines(spark: SparkSession, paths: list[str], log_id: str = "log", max_l
 
 
 def read_gzip_by_content(spark: SparkSession, paths: list[str], log_id: str = "log", max_line: int = MAX_LINE) -> DataFrame:
-    """As ``read_lines`` for files that may be gzip without saying so in their names; each file is one stream of one task."""
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    names = {p.rsplit("/", 1)[-1]: i for i, p in enumerate(paths)}
+    """As ``read_lines`` for files that may be gzip without saying so in their names; each file is one stream of one task.
+
+    A task holds the file's bytes as they are, never what they inflate to. Files count by their whole paths.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    order: dict[str, int] = {}
+    for i, p in enumerate(paths):
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        order.setdefault(path.getFileSystem(conf).makeQualified(path).toUri().getPath(), i)
+    files = spark.read.format("binaryFile").load(paths).select(F.col("path"), "content")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                name, data = batch.column(0)[r].as_py().rsplit("/", 1)[-1], batch.column(1)[r].as_py()
-                if data[:2] == b"\x1f\x8b":
-                    data = gzip.decompress(data)
-                lines = data.split(b"\n")
-                if lines and not lines[-1]:
-                    lines.pop()
-                for at in range(0, len(lines), 10_000):
-                    part = lines[at : at + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([names[name]] * len(part), pa.int32()), pa.array(range(at, at + len(part)), pa.int64()), pa.array(part, pa.binary())], ["seq", "n", "raw"])
+                seq = order[unquote(urlsplit(batch.column(0)[r].as_py()).path)]
+                stream = io.BytesIO(memoryview(batch.column(1)[r].as_buffer()))
+                if stream.read(2) == b"\x1f\x8b":
+                    stream.seek(0)
+                    stream = io.BufferedReader(gzip.GzipFile(fileobj=stream), 1 << 20)
+                else:
+                    stream.seek(0)
+                at = 0
+                while part := [line.removesuffix(b"\n") for line in islice(stream, 10_000)]:
+                    yield pa.RecordBatch.from_arrays([pa.array([seq] * len(part), pa.int32()), pa.array(range(at, at + len(part)), pa.int64()), pa.array(part, pa.binary())], ["seq", "n", "raw"])
+                    at += len(part)
 
     lines = files.mapInArrow(rows, "seq int, n bigint, raw binary")
     counts = lines.groupBy("seq").agg(F.count("*").alias("n")).orderBy("seq").collect()

@@ -18,6 +18,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from timberline.operators import records as R
 from timberline.operators.correlate import Correlator, Options
+from timberline.operators.framing import Framer
 
 OUTPUT = "log_id string, emitted bigint, kind string, row string"
 
@@ -26,31 +27,16 @@ class LiveLog:
     """Framing and correlation of one log, line by line; what it holds can be pickled between batches."""
 
     def __init__(self, options: Options):
-        self.correlator, self.block, self.emitted = Correlator(options), None, 0
+        self.correlator, self.framer, self.emitted = Correlator(options), Framer(), 0
 
     def feed(self, line_no: int, line: str) -> list[tuple[str, dict]]:
-        line = line.rstrip("\r\n")
-        out = []
-        if R.is_block_end(line):
-            out = self.close()
-        if line.startswith(R.IGNORED_PREFIXES):
-            return out
-        if self.block is None:
-            self.block = [line_no, "blank", []]
-        if self.block[1] == "blank":
-            self.block[1] = R.block_type(line)
-            if self.block[1] in ("active", "paused", "pressure"):
-                self.block[2].append(line)
-        else:
-            self.block[2].append(line)
-        return out
+        return self._taken(self.framer.feed(line_no, line.rstrip("\r\n")))
 
     def close(self) -> list[tuple[str, dict]]:
-        block, self.block, out = self.block, None, []
-        if block and block[2]:
-            for record in R.recognise(block[1], block[0], block[2]):
-                out += self.correlator.feed(record)
-        return out
+        return self._taken(self.framer.close())
+
+    def _taken(self, block: tuple[int, str, list[str]] | None) -> list[tuple[str, dict]]:
+        return [found for record in (R.recognise(block[1], block[0], block[2]) if block else ()) for found in self.correlator.feed(record)]
 
 
 def _text(value):
