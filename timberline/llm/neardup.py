@@ -128,8 +128,8 @@ def fingerprint(found: np.ndarray) -> bytes:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
-def sketch_documents(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, key, n, cls, sketch): a hash of the text, set size, a fingerprint of the set, and its FIRST_K smallest hashes."""
+def sketch_documents(docs: DataFrame, id_col: str, text_col: str, size: int, key_col: str | None = None) -> DataFrame:
+    """(id, key, n, cls, sketch): another column, set size, a fingerprint of the set, and its FIRST_K smallest hashes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -139,17 +139,17 @@ def sketch_documents(docs: DataFrame, id_col: str, text_col: str, size: int) ->
                     found = shingle_set(text, size)
                     yield {"_id": ids[i], "key": keys[i], "n": len(found), "cls": fingerprint(found), "sketch": found[:FIRST_K].tolist()}
 
-    narrow = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(F.col(text_col)).alias("_key"))
+    narrow = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"), F.col(key_col or id_col).cast("bigint").alias("_key"))
     return map_arrow(narrow, rows, "_id bigint, key bigint, n bigint, cls binary, sketch array<bigint>", 2000)
 
 
 def _candidates(reps: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Reps of which at least T retained hashes occur in another class too."""
+    """(rep, cls) of the reps of which at least T retained hashes occur in another class too."""
     each = reps.select("rep", "n", F.explode("sketch").alias("v"))
     common = scratch.keep(each.groupBy("v").agg(F.count("*").alias("df")).where("df > 1").select("v"), "common")
     shared = each.join(common, "v").groupBy("rep", "n").agg(F.count("*").alias("shared"))
-    found = scratch.keep(shared.where(F.col("shared") >= shared_at_least(F.col("n"), FIRST_K, percent)).select("rep"), "candidates")
-    return found
+    found = shared.where(F.col("shared") >= shared_at_least(F.col("n"), FIRST_K, percent)).select("rep").distinct()
+    return scratch.keep(reps.select("rep", "cls").join(found, "rep"), "candidates")
 
 
 def _bloom(ids: DataFrame, column: str) -> tuple[np.ndarray, int]:
@@ -169,9 +169,10 @@ def _bloom_places(column, bits: int) -> list:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, scratch: Scratch, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(rep, n, hashes) of the wanted reps. The texts are read again where they lie; the Bloom filter spares most of them.
+    """(rep, n, hashes) of the wanted (rep, cls). The texts are read again where they lie; the Bloom filter spares most of them.
 
-    What the filter lets through by chance leaves in the join with the wanted ids.
+    What the filter lets through by chance leaves in the join with the wanted ones. The sets are the largest table of
+    all, so they are kept in the form that all later steps read.
     """
     words, bits = _bloom(wanted, "rep")
     held = docs.sparkSession.sparkContext.broadcast(words)
@@ -191,8 +192,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, scratch: Scratch, id_col: str,
     ids = F.col(id_col).cast("bigint")
     narrow = docs.where(F.col(id_col).isNotNull()).select(ids.alias("rep"), F.col(text_col).alias("_text"), *(p.alias(f"_p{i}") for i, p in enumerate(_bloom_places(ids, bits))))
     found = map_arrow(narrow, rows, "rep bigint, cls binary, n bigint, hashes array<bigint>", 200)
-    # A repeated id has a set for each of its texts; its class's text is the one that counts.
-    return scratch.keep(found.join(wanted, "rep"), "sets")
+    # A repeated id has a set for each of its texts; its class's text is the one that counts, and once.
+    return scratch.keep(found.join(wanted, ["rep", "cls"]).dropDuplicates(["rep", "cls"]).select("rep", "n", "hashes"), "sets")
 
 
 def _listed(sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
@@ -332,7 +333,6 @@ def find_links(docs: DataFrame, reps: DataFrame, scratch: Scratch, id_col: str,
     """(a, b): links between reps; all of those from short lists, a spanning forest of each pair of blocks from long ones."""
     wanted = _candidates(reps, scratch, percent)
     sets = _sets_of(docs, wanted, scratch, id_col, text_col, size)
-    sets = sets.join(reps.select(F.col("rep"), F.col("cls")), ["rep", "cls"]).select("rep", "n", "hashes")
     listed = _listed(sets, scratch, percent)
     sizes = scratch.keep(listed.groupBy("v").agg(F.count("*").alias("m")).where("m > 1"), "lists")
     short = listed.join(sizes.where(F.col("m") <= LONG_LIST).select("v"), "v")
@@ -371,10 +371,10 @@ def components(links: DataFrame, scratch: Scratch, what: str = "") -> DataFrame:
         state = now
 
 
-def _decided(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+def _decided(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, key_col: str | None = None) -> DataFrame:
     """(_id, key, n, linked, component) of each row; ``linked`` rows have shingles and an id."""
     scratch = Scratch(docs.sparkSession, "neardup")
-    sketched = scratch.keep(sketch_documents(docs, id_col, text_col, size), "sketched")
+    sketched = scratch.keep(sketch_documents(docs, id_col, text_col, size, key_col), "sketched")
     linked = (F.col("n") > 0) & F.col("_id").isNotNull()
     usable = sketched.where(linked)
     classes = scratch.keep(usable.groupBy("cls").agg(F.min("_id").alias("rep")), "classes")
@@ -403,21 +403,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row of each component, with all its columns: the one with the smallest id, and of that id the least text hash.
 
-    So of rows with one id and different texts each stays or goes by its text, and of equal rows one
-    stays (of those that differ in other columns, the least by these). Rows without an id or without
-    shingles, null texts among them, all stay. An empty table gives an empty one; columns keep names and order.
+    Rows with one id and different texts are documents of their own here, so each text stays or goes by itself (a hash
+    of id and text names them; two of n have the same with a probability of n * n / 2**65). Of equal rows one stays
+    (of those that differ in other columns, the least by these). Rows without an id or without shingles, null
+    texts among them, all stay. An empty table gives an empty one; columns keep names and order.
     """
-    decided = _decided(docs, id_col, text_col, size, percent).where("linked").groupBy("component", "_id", "key").agg(F.count("*").alias("rows"))
+    node = F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col), F.col(text_col)))
+    named = docs.select(node.alias("_node"), F.col(id_col).alias("_key"), F.col(text_col).alias("_text"))
+    decided = _decided(named, "_node", "_text", size, percent, "_key").where("linked").groupBy("component", "_id").agg(F.count("*").alias("rows"), F.min("key").alias("key"))
     scratch = Scratch(docs.sparkSession, "dropped")
     decided = scratch.keep(decided, "decided")
-    first = decided.groupBy("component").agg(F.min(F.struct("_id", "key")).alias("first"))
-    marked = decided.join(first, "component").select("_id", "key", "rows", (F.struct("_id", "key") == F.col("first")).alias("stays")).where("NOT stays OR rows > 1")
-    marked = scratch.keep(marked.select(F.col("_id").alias("_m_id"), F.col("key").alias("_m_key"), "stays"), "marked")
-    same = (docs[id_col].cast("bigint") == marked["_m_id"]) & (F.xxhash64(docs[text_col]) == marked["_m_key"])
-    out = docs.join(marked, same, "left_anti")
-    again = marked.where("stays")
+    first = decided.groupBy("component").agg(F.min(F.struct("key", "_id")).alias("first"))
+    marked = decided.join(first, "component").select(F.col("_id").alias("_m_node"), "rows", (F.col("_id") == F.col("first._id")).alias("_m_stays")).where("NOT _m_stays OR rows > 1")
+    marked = scratch.keep(marked.select("_m_node", "_m_stays"), "marked")
+    out = docs.join(marked, node == marked["_m_node"], "left_anti")
+    again = marked.where("_m_stays")
     if not again.isEmpty():
-        again = docs.join(again, (docs[id_col].cast("bigint") == again["_m_id"]) & (F.xxhash64(docs[text_col]) == again["_m_key"]), "left_semi")
-        one = again.groupBy(F.col(id_col).alias("_m_id"), F.xxhash64(text_col).alias("_m_key")).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("_m_row"))
+        again = docs.join(again, node == again["_m_node"], "left_semi")
+        one = again.groupBy(node.alias("_m_node")).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("_m_row"))
         out = out.unionByName(one.select("_m_row.*"))
     return out
