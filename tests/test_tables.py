@@ -8,19 +8,19 @@ import pytest
 
 TEXT = """
 Perforce server info:
-\t2015/09/02 15:23:09 pid 1616 robert@ws 10.1.1.1/127.0.0.1 [app (brokered)] 'user-sync //...'
+\t2021/03/04 05:06:07 pid 4242 mona@ws 10.1.1.1/127.0.0.1 [app (brokered)] 'user-sync //...'
 Perforce server info:
-\t2015/09/02 15:23:09 pid 1616 completed .031s
+\t2021/03/04 05:06:07 pid 4242 completed .047s
 Perforce server info:
-\t2015/09/02 15:23:09 pid 1616 robert@ws 10.1.1.1/127.0.0.1 [app (brokered)] 'user-sync //...'
+\t2021/03/04 05:06:07 pid 4242 mona@ws 10.1.1.1/127.0.0.1 [app (brokered)] 'user-sync //...'
 --- db.have
 ---   total lock wait+held read/write 12000ms+22000ms/24000ms+500000ms
 ---   max lock wait+held read/write 32ms+33ms/34ms+35ms
 
 Perforce server info:
-\t2015/09/02 15:23:20 pid 17 o'neil@ws 10.1.1.2 [x\\y] 'user-fstat //a'
+\t2021/03/04 05:06:18 pid 17 o'neil@ws 10.1.1.2 [x\\y] 'user-fstat //a'
 
-2015/09/02 15:23:31 560465376 pid 1056102: Server is now using 55 active threads.
+2021/03/04 05:06:29 111222333 pid 9090: Server is now using 55 active threads.
 """
 
 
@@ -84,11 +84,11 @@ def test_metrics(tables):
     lines = {r["line"] for r in metrics.prometheus_lines(rows).collect()}
     assert 'p4_cmd_counter{cmd="user-sync",serverid="s1"} 1' in lines
     assert 'p4_cmd_program_counter{program="x\\\\y",serverid="s1"} 1' in lines
-    assert 'p4_cmd_program_cumulative_seconds{program="app",serverid="s1"} 0.031' in lines
+    assert 'p4_cmd_program_cumulative_seconds{program="app",serverid="s1"} 0.047' in lines
     assert 'p4_cmd_replica_counter{replica="10.1.1.1",serverid="s1"} 1' in lines and 'p4_cmd_ip_counter{ip="127.0.0.1",serverid="s1"} 1' in lines
     assert 'p4_total_write_held_seconds{serverid="s1",table="have"} 500.000' in lines
     assert 'p4_cmds_running{serverid="s1"} 55' in lines and 'p4_prom_log_lines_read{serverid="s1"} 19' in lines
-    assert any(line.startswith("p4_cmd_counter;cmd=user-sync;serverid=s1 1 1441207389") for line in (r["line"] for r in metrics.graphite_lines(rows, F.lit(1441207389)).collect()))
+    assert any(line.startswith("p4_cmd_counter;cmd=user-sync;serverid=s1 1 1614834367") for line in (r["line"] for r in metrics.graphite_lines(rows, F.lit(1614834367)).collect()))
 
 
 def test_ticks_are_greedy(spark):
@@ -111,9 +111,9 @@ def test_proxy(spark):
     from timberline.plans.proxy import parse_proxy
     from timberline.sources.logs import lines_of_text
 
-    text = "\nPerforce proxy info:\n\t2018/06/10 23:30:09 pid 25568 completed .178s 7+4us\n--- lapse .2s\n--- proxytotals files/size svr+cache 1+2/100B+2.5K\n\nPerforce proxy info:\n\t2018/06/10 23:30:10 pid 2 completed .1s\n"
+    text = "\nPerforce proxy info:\n\t2020/10/11 12:13:14 pid 31337 completed .19s 5+6us\n--- lapse .2s\n--- proxytotals files/size svr+cache 1+2/100B+2.5K\n\nPerforce proxy info:\n\t2020/10/11 12:13:15 pid 2 completed .1s\n"
     (row,) = parse_proxy(lines_of_text(spark, text)).collect()
-    assert (row["lineNumber"], row["pid"], row["proxyTotalsSvrBytes"], row["proxyTotalsCacheBytes"], round(row["completedLapse"], 3)) == (2, 25568, 100, 2560, 0.2)
+    assert (row["lineNumber"], row["pid"], row["proxyTotalsSvrBytes"], row["proxyTotalsCacheBytes"], round(row["completedLapse"], 3)) == (2, 31337, 100, 2560, 0.2)
 
 
 def test_streaming_equals_batch(spark, tables, tmp_path):

@@ -7,16 +7,20 @@ from pyspark.sql import functions as F
 
 from timberline.functions.scalars import milliseconds
 
-# The order in which the server takes table locks (names without the leading "db.").
+# The order in which the server takes table locks.
 LOCK_ORDER = """
-config configh counters nameval upgrades.rp upgrades logger ldap topology server svrview remote rmtview stash user.rp user ticket.rp
-ticket group groupx depot stream streamrelation streamview streamviewx streamq integedss domain template templatesx templatewx
-view.rp view haveview review label have.rp have.pt have integed integtx resolve resolvex resolveg scandir scanctl storagesh storage
-storageg storagesx storageup_R storageup_W storagemasterup_R storagemasterup_W revdx revhx revpx revsx revsh revbx revux revcx rev
-revtx revstg revfs locks locksg working workingx workingg haveg excl exclg exclgx traits trigger change changex changeidx desc repo
-refhist ref refcntadjust object graphindex graphperm submodule pubkey job fix fixrev bodresolve bodresolvex bodtext bodtextcx
-bodtexthx bodtextsx bodtextwx ixtext ixtexthx uxtext protect property message sendq sendq.pt jnlack monitor
-""".split()
+db.config db.configh db.counters db.nameval db.upgrades.rp db.upgrades db.logger db.ldap db.topology db.server db.svrview
+db.remote db.rmtview db.stash db.user.rp db.user db.ticket.rp db.ticket db.group db.groupx db.depot db.stream
+db.streamrelation db.streamview db.streamviewx db.streamq db.integedss db.domain db.template db.templatesx db.templatewx
+db.view.rp db.view db.haveview db.review db.label db.have.rp db.have.pt db.have db.integed db.integtx db.resolve
+db.resolvex db.resolveg db.scandir db.scanctl db.storagesh db.storage db.storageg db.storagesx db.storageup_R
+db.storageup_W db.storagemasterup_R db.storagemasterup_W db.revdx db.revhx db.revpx db.revsx db.revsh db.revbx db.revux
+db.revcx db.rev db.revtx db.revstg db.revfs db.locks db.locksg db.working db.workingx db.workingg db.haveg db.excl
+db.exclg db.exclgx db.traits db.trigger db.change db.changex db.changeidx db.desc db.repo db.refhist db.ref
+db.refcntadjust db.object db.graphindex db.graphperm db.submodule db.pubkey db.job db.fix db.fixrev db.bodresolve
+db.bodresolvex db.bodtext db.bodtextcx db.bodtexthx db.bodtextsx db.bodtextwx db.ixtext db.ixtexthx db.uxtext db.protect
+db.property db.message db.sendq db.sendq.pt db.jnlack db.monitor
+""".split()
 
 
 def lock_records(process: DataFrame, table_use: DataFrame, threshold_ms: int = 10_000, exclude: str = "") -> DataFrame:
@@ -38,7 +42,7 @@ def lock_records(process: DataFrame, table_use: DataFrame, threshold_ms: int = 1
 
 
 def lock_order(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(f"db.{n}", i) for i, n in enumerate(LOCK_ORDER)], "table string, place int")
+    return spark.createDataFrame([(n, i) for i, n in enumerate(LOCK_ORDER)], "table string, place int")
 
 
 def in_lock_order(records: DataFrame, threshold_ms: int = 10_000) -> DataFrame:

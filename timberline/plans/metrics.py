@@ -120,14 +120,17 @@ def ticks(times: DataFrame, interval_s: int = 10, log: str = "log_id", time: str
 
 
 def cumulative_at_ticks(counts: DataFrame, tick_rows: DataFrame, by: list[str], value: str, log: str = "log_id", second: str = "s") -> DataFrame:
-    """(log, by..., tick, value): running totals of each series at every tick; ``counts`` has a row per series and second.
+    """(log, by..., tick, value): running totals of each series at every tick from its first on; ``counts`` has a row per series and second.
 
-    The series' rows are folded to the tick that first sees them, then summed up over ticks.
+    A series' rows are folded to the tick that first sees them; ticks without any repeat the total.
     """
     w = Window.partitionBy(log).orderBy("tick")
     spans = tick_rows.withColumn("after", F.coalesce(F.lag("tick").over(w), F.lit(-(1 << 62))))
     placed = counts.join(spans, log).where((F.col(second) > F.col("after")) & (F.col(second) <= F.col("tick")))
     each = placed.groupBy(log, *by, "tick").agg(F.sum(value).alias(value))
+    since = each.groupBy(log, *by).agg(F.min("tick").alias("_since"))
+    grid = since.join(tick_rows, log).where(F.col("tick") >= F.col("_since")).select(log, *by, "tick", F.lit(0).cast("bigint").alias(value))
+    each = each.unionByName(grid).groupBy(log, *by, "tick").agg(F.sum(value).alias(value))
     running = F.sum(value).over(Window.partitionBy(log, *by).orderBy("tick"))
     return each.withColumn(value, running)
 

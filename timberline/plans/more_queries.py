@@ -230,7 +230,8 @@ _TICKS = """SELECT * FROM (WITH RECURSIVE secs AS (SELECT DISTINCT epoch(startTi
   SELECT min(s) AS tick FROM secs UNION ALL SELECT (SELECT min(s) FROM secs WHERE s >= t.tick + 864000) FROM t WHERE t.tick IS NOT NULL
 ), spans AS (SELECT tick, coalesce(lag(tick) OVER (ORDER BY tick), -1) AS after FROM t WHERE tick IS NOT NULL),
 e AS (SELECT cmd, tick, count(*) AS c FROM process JOIN spans ON epoch(startTime)::bigint > after AND epoch(startTime)::bigint <= tick GROUP BY ALL)
-SELECT 'log' AS log_id, cmd, tick, cast(sum(c) OVER (PARTITION BY cmd ORDER BY tick) AS bigint) AS n FROM e)"""
+SELECT 'log' AS log_id, cmd, tick, cast((SELECT sum(c) FROM e WHERE e.cmd = s.cmd AND e.tick <= spans.tick) AS bigint) AS n
+FROM spans JOIN (SELECT cmd, min(tick) AS since FROM e GROUP BY cmd) s ON spans.tick >= since)"""
 
 
 @_add("m02_historical_ticks", oracle(_TICKS, "process"))
@@ -306,7 +307,7 @@ def l03(spark, d):
     return _records(spark, d).select("table", "pid", "cmd", "line", "user", "start", "endTime", "side", "wait", "held", "max_lock")
 
 
-_ORDER = ", ".join(f"('db.{n}', {i})" for i, n in enumerate(locks.LOCK_ORDER))
+_ORDER = ", ".join(f"('{n}', {i})" for i, n in enumerate(locks.LOCK_ORDER))
 
 
 @_add("l05_lock_order", oracle(f"SELECT l.\"table\", place, count(*) AS n, cast(sum(max_lock) AS bigint) AS ms FROM ({_SIDES}) l JOIN (VALUES {_ORDER}) o(t, place) ON l.\"table\" = o.t GROUP BY ALL", "process", "tableUse"))

@@ -59,7 +59,7 @@ DUCK_LINE = "chr(9) || strftime(started, '%Y/%m/%d %H:%M:%S') || ' pid ' || k ||
 
 
 #: Server events as one-line blocks: the kind follows from the event's number.
-_EVENT_LINE = """concat(date_format(eventTime, 'yyyy/MM/dd HH:mm:ss'), ' 560465376 pid ', lineNumber % 1000, ': ', CASE lineNumber % 3
+_EVENT_LINE = """concat(date_format(eventTime, 'yyyy/MM/dd HH:mm:ss'), ' 111222333 pid ', lineNumber % 1000, ': ', CASE lineNumber % 3
   WHEN 0 THEN concat('Server is now using ', lineNumber % 200, ' active threads.')
   WHEN 1 THEN concat('Server now has ', lineNumber % 30, ' paused threads.')
   ELSE concat('Server under resource pressure.  Pause rate CPU ', pauseRateCPU, '%, mem ', pauseRateMem, '%, CPU pressure ', cpuPressureState, ', mem pressure ', memPressureState) END)"""
