@@ -62,3 +62,16 @@ def intervals(records: DataFrame) -> DataFrame:
 def pending(process: DataFrame) -> DataFrame:
     """Commands without an end, the latest first."""
     return process.where("endTime IS NULL").orderBy(F.col("startTime").desc(), F.col("lineNumber").desc())
+
+
+def lock_counts(process: DataFrame, records: DataFrame) -> DataFrame:
+    """(what, n): all commands, and the lock records found among them."""
+    count = lambda df, what: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+    return count(process, "commands").unionByName(count(records, "records"))
+
+
+def pending_counts(process: DataFrame, events: DataFrame) -> DataFrame:
+    """(what, n): commands and server events together, and the commands without an end."""
+    count = process.agg(F.count("*").alias("n"), F.count_if(F.col("endTime").isNull()).alias("open"))
+    total = count.select("n").unionByName(events.agg(F.count("*").alias("n"))).agg(F.sum("n").alias("n"))
+    return total.select(F.lit("total").alias("what"), "n").unionByName(count.select(F.lit("pending").alias("what"), F.col("open").alias("n")))

@@ -16,6 +16,7 @@ from timberline.plans import binding, dashboard, locks, metrics, proxy, rendered
 from timberline.plans import schemas as S
 from timberline.plans.binding import oracle
 from timberline.plans.reports import bucket
+from timberline.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -325,6 +326,25 @@ def p01(spark, d):
     return locks.pending(binding.process(spark, d)).select("processkey", "lineNumber", "startTime", "pid", "user", "cmd", "args")
 
 
+@_add("p02_pending_counts", oracle("SELECT 'total' AS what, (SELECT count(*) FROM process) + (SELECT count(*) FROM svr_events) AS n UNION ALL SELECT 'pending', (SELECT count(*) FROM process WHERE endTime IS NULL)", "process", "svr_events"))
+def p02(spark, d):
+    return locks.pending_counts(binding.process(spark, d), binding.events(spark, d))
+
+
+@_add("l07_lock_counts", oracle(f"SELECT 'commands' AS what, (SELECT count(*) FROM process) AS n UNION ALL SELECT 'records', (SELECT count(*) FROM ({_SIDES}))", "process", "tableUse"))
+def l07(spark, d):
+    return locks.lock_counts(binding.process(spark, d), _records(spark, d))
+
+
+@_add("k06_lock_pages", oracle(f"SELECT cast(count(*) AS bigint) AS records, cast(sum(length(\"table\" || ' ' || side)) AS bigint) AS label_chars, cast(sum(wait) AS bigint) AS wait, cast(sum(held) AS bigint) AS held, min(start) AS first FROM ({_SIDES})", "process", "tableUse"))
+def k06(spark, d):
+    """What the data arrays of all lock pages hold, read back from the pages."""
+    pages = sinks.lock_pages(_records(spark, d), 1000)
+    data = F.from_json(F.regexp_extract("html", "(?s)const rows=(\\[.*?\\]);\n", 1), "array<struct<label string, wait bigint, held bigint, start string>>")
+    rows = pages.select(F.explode(data).alias("r")).select("r.*")
+    return rows.agg(F.count("*").alias("records"), F.sum(F.length("label")).alias("label_chars"), F.sum("wait").alias("wait"), F.sum("held").alias("held"), scalars.parse_time(F.min("start")).alias("first"))
+
+
 def proxy_lines(spark: SparkSession, d: str) -> DataFrame:
     """The bound proxy rows as proxy-log text of one log; every fifth block lacks tracking."""
     text = [
@@ -338,3 +358,11 @@ def proxy_lines(spark: SparkSession, d: str) -> DataFrame:
 @_add("y04_proxy_totals", oracle("SELECT lineNumber * 4 + 1 AS lineNumber, pid, endTime, lineNumber % 5000 + 0.5e0 AS completedLapse, proxyTotalsSvr, proxyTotalsCache, lineNumber * 1048576 AS proxyTotalsSvrBytes, lineNumber * 1024 AS proxyTotalsCacheBytes FROM p4pcmd WHERE lineNumber % 5 <> 0", "p4pcmd"))
 def y04(spark, d):
     return proxy.parse_proxy(proxy_lines(spark, d)).drop("log_id")
+
+
+_INSERT = f"INSERT INTO p4pcmd ({','.join(S.PROXY_COLUMNS)}) VALUES ("
+
+
+@_add("y06_proxy_sql", oracle(f"SELECT '{_INSERT}' || concat_ws(',', lineNumber * 4 + 1, pid, '''' || strftime(endTime, '%Y/%m/%d %H:%M:%S') || '''', printf('%.3f', lineNumber % 5000 + 0.5e0), proxyTotalsSvr, proxyTotalsCache, lineNumber * 1048576, lineNumber * 1024) || ');' AS value FROM p4pcmd WHERE lineNumber % 5 <> 0", "p4pcmd"))
+def y06(spark, d):
+    return sinks.sql_inserts(proxy.parse_proxy(proxy_lines(spark, d)), "p4pcmd", S.PROXY_COLUMNS)

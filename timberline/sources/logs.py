@@ -14,13 +14,20 @@ from pyspark.sql import functions as F
 
 #: Bytes of a line that the loader keeps; the lock and pending reports keep twice as many.
 MAX_LINE = 5000
+#: Bytes of the longest line that is read; a longer one stops the load with an error.
+LONGEST_LINE = 5 << 20
 
 
 def cut_long(value, max_line: int = MAX_LINE):
-    """Lines over ``max_line`` bytes end in ``...'`` after that many bytes; line ends are trimmed first, bytes stay as they are."""
+    """Lines over ``max_line`` bytes end in ``...'`` after that many bytes; line ends are trimmed first, bytes stay as they are.
+
+    A line over ``LONGEST_LINE`` bytes is an error, as it is no log line.
+    """
     value = F.rtrim(value, F.lit("\r\n"))
     raw = F.concat(F.substring(value.cast("binary"), 1, max_line), F.lit("...'").cast("binary"))
-    return F.when(F.octet_length(value) > max_line, raw.cast("string")).otherwise(value)
+    size = F.octet_length(value)
+    error = F.raise_error(F.concat(F.lit(f"a line is over {LONGEST_LINE} bytes: "), size.cast("string"))).cast("string")
+    return F.when(size > LONGEST_LINE, error).when(size > max_line, raw.cast("string")).otherwise(value)
 
 
 def read_lines(spark: SparkSession, paths: list[str], log_id: str = "log", max_line: int = MAX_LINE) -> DataFrame:

@@ -59,7 +59,8 @@ def sql_inserts(df: DataFrame, table: str, columns: tuple[str, ...]) -> DataFram
 def create_statement(table: str, df: DataFrame, columns: tuple[str, ...], key: tuple[str, ...]) -> str:
     types = {"bigint": "INT", "double": "FLOAT", "timestamp": "DATETIME", "boolean": "TEXT"}
     kinds = {f.name: types.get(f.dataType.simpleString(), "TEXT") for f in df.schema.fields}
-    return f"CREATE TABLE IF NOT EXISTS {table} ({', '.join(f'{c} {kinds[c]}' for c in columns)}, PRIMARY KEY ({', '.join(key)}));"
+    parts = [f"{c} {kinds[c]}" for c in columns] + [f"PRIMARY KEY ({', '.join(key)})"] * bool(key)
+    return f"CREATE TABLE IF NOT EXISTS {table} ({', '.join(parts)});"
 
 
 def write_sql(tables: Tables, path: str) -> None:
@@ -116,12 +117,64 @@ def render_report(tables: LogTables, form: str = "text", thresholds: Thresholds
     return f"<!DOCTYPE html><html><body>{''.join(out)}</body></html>" if form == "html" else "\n".join(out)
 
 
+# A page of lock records: its rows are data, which the page draws on a time axis and filters by text.
+_PAGE_HEAD = """<!DOCTYPE html><html><head><meta charset="utf-8"><title>Locks</title><style>
+.r{position:relative;height:18px;font:12px sans-serif;border-bottom:1px solid #eee}.r b{position:absolute;height:14px;top:2px;min-width:1px}
+.wait{background:#ccc}.held{background:#c33}.r span{position:relative}</style></head><body><h1>Locks</h1>
+<input id="only" placeholder="table, user or command"> <span id="count"></span><div id="axis"></div><div id="rows"></div><script>const rows="""
+_PAGE_TAIL = """;
+const end=r=>r.at+r.wait+r.held,from=rows.reduce((m,r)=>Math.min(m,r.at),Infinity),span=Math.max(1,rows.reduce((m,r)=>Math.max(m,end(r)),-Infinity)-from);
+function bar(kind,at,ms){const b=document.createElement('b');b.className=kind;b.style.left=100*(at-from)/span+'%';b.style.width=100*ms/span+'%';return b}
+function draw(){const want=document.getElementById('only').value.toLowerCase(),box=document.getElementById('rows');box.textContent='';let n=0;
+for(const r of rows){const text=r.label+' '+r.cmd+' '+r.user+' pid '+r.pid+' '+r.lasted;if(!text.toLowerCase().includes(want))continue;n++;
+const d=document.createElement('div'),t=document.createElement('span');d.className='r';d.title=text+' '+r.start;t.textContent=r.label;d.append(bar('wait',r.at,r.wait),bar('held',r.at+r.wait,r.held),t);box.append(d)}
+document.getElementById('count').textContent=n+' of '+rows.length+' records'}
+if(rows.length)document.getElementById('axis').textContent=new Date(from).toISOString()+' to '+new Date(from+span).toISOString();
+document.getElementById('only').oninput=draw;draw()</script></body></html>"""
+
+
+def lock_pages(records: DataFrame, page_rows: int = 10_000) -> DataFrame:
+    """(page, rows, html): all lock records by time, ``page_rows`` to a page; no row is left out.
+
+    Records are counted, sorted by range in parts of about a hundred pages, and each part is cut into pages, so only
+    a page's rows are ever put together. No records give no pages.
+    """
+    label = F.concat_ws(" ", "table", "side")
+    begin = F.unix_millis(F.col("start").cast("timestamp"))
+    bar = F.struct(begin.alias("at"), label.alias("label"), "line", "pid", "cmd", "user", F.date_format("start", TIME_FORMAT).alias("start"), "wait", "held", humanise(F.col("max_lock")).alias("lasted"))
+    parts = max(1, -(-records.count() // (100 * page_rows)))
+    rows = records.select(bar.alias("r")).repartitionByRange(parts, "r").sortWithinPartitions("r").withColumn("m", F.monotonically_increasing_id())
+    part, place = F.shiftright("m", 33), F.col("m").bitwiseAND((1 << 33) - 1)
+    paged = rows.groupBy(part.alias("part"), F.floor(place / page_rows).alias("place")).agg(F.count("*").alias("rows"), F.sort_array(F.collect_list("r")).alias("data"))
+    # An opened tag could end the script that holds the data.
+    data = F.replace(F.to_json("data"), F.lit("<"), F.lit("\\u003c"))
+    return paged.select(F.shiftleft("part", 33).bitwiseOR(F.col("place")).alias("page"), "rows", F.concat(F.lit(_PAGE_HEAD), data, F.lit(_PAGE_TAIL)).alias("html"))
+
+
+def write_lock_pages(records: DataFrame, path: str, page_rows: int = 10_000) -> None:
+    """A folder for each page, in the order of time."""
+    lock_pages(records, page_rows).select("page", "html").write.mode("overwrite").partitionBy("page").text(path)
+
+
 def lock_page(records: DataFrame, limit: int = 10_000) -> str:
-    """A page with the longest lock records as bars on a time axis; a page can hold only so many."""
-    rows = records.orderBy(F.col("max_lock").desc()).limit(limit).withColumn("lasted", humanise(F.col("max_lock")))
-    rows = rows.select("table", "side", "pid", "cmd", "user", F.date_format("start", TIME_FORMAT).alias("start"), "wait", "held", "lasted").orderBy("table", "start")
-    items = "".join(
-        f'<div title="{html.escape(f"{r.cmd} {r.user} pid {r.pid} {r.lasted}")}">{html.escape(f"{r.table} {r.side} {r.start}")} <span style="display:inline-block;background:#ccc;width:{min(r.wait / 100, 500):.0f}px">&nbsp;</span><span style="display:inline-block;background:#c33;width:{min(r.held / 100, 500):.0f}px">&nbsp;</span></div>'
-        for r in rows.collect()
-    )
-    return f"<!DOCTYPE html><html><body><h1>Locks</h1>{items}</body></html>"
+    """One page with all lock records; raises if they are more than ``limit``, for which ``write_lock_pages`` is there."""
+    if (rows := records.limit(limit + 1).count()) > limit:
+        raise ValueError(f"more than {limit} lock records; write_lock_pages writes them all")
+    if not rows:
+        return f"{_PAGE_HEAD}[]{_PAGE_TAIL}"
+    return lock_pages(records, limit).first()["html"]
+
+
+def write_proxy(rows: DataFrame, path: str, form: str = "parquet") -> None:
+    """The proxy table as Parquet, SQL text (definition and inserts) or JSON lines."""
+    rows = rows.select(*S.PROXY_COLUMNS)
+    if form == "parquet":
+        rows.write.mode("overwrite").parquet(f"{path}/p4pcmd")
+    elif form == "sql":
+        head = create_statement("p4pcmd", rows, S.PROXY_COLUMNS, ())
+        rows.sparkSession.createDataFrame([(head,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/schema")
+        sql_inserts(rows, "p4pcmd", S.PROXY_COLUMNS).write.mode("overwrite").text(f"{path}/p4pcmd")
+    elif form == "json":
+        rows.select(F.to_json(F.struct(*S.PROXY_COLUMNS), {"timestampFormat": TIME_FORMAT}).alias("value")).write.mode("overwrite").text(f"{path}/p4pcmd")
+    else:
+        raise ValueError(f"no such form: {form}")
