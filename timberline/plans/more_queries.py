@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 from timberline.functions import scalars
 from timberline.operators import records as R
 from timberline.operators.framing import frame
+from timberline.operators.correlate import Options
 from timberline.operators.tables import build_tables, parse_log
-from timberline.plans import binding, dashboard, locks, metrics, proxy, rendered
+from timberline.plans import binding, cases, dashboard, locks, metrics, proxy, rendered
 from timberline.plans import schemas as S
 from timberline.plans.binding import oracle
 from timberline.plans.reports import bucket
@@ -184,6 +186,46 @@ def e06(spark, d):
     return rows.select("log_id", "lineNumber", "eventTime", "activeThreads", "pausedThreads", "pauseRateCPU", "memPressureState")
 
 
+# The parser over small logs, one for each order
+
+
+def _case_process(name: str, of: list[cases.Case]) -> None:
+    seconds = ("computedLapse", "completedLapse", "paused")
+
+    def query(spark, d):
+        rows = build_tables(parse_log(cases.lines_of(spark, d, of))).process
+        return rows.select(*(F.round(c, 3).alias(c) if c in seconds else F.col(c) for c in cases.PROCESS_COLUMNS))
+
+    _add(name, cases.process_twin(of))(query)
+
+
+def _case_order(name: str, of: list[cases.Case], options: Options | None = None) -> None:
+    def query(spark, d):
+        out = parse_log(cases.lines_of(spark, d, of), options).where(F.col("command").isNotNull())
+        return out.select("log_id", "emitted", "command.lineNumber", "command.processkey", "command.endTime")
+
+    _add(name, cases.order_twin(of))(query)
+
+
+_case_process("d01_decisions", cases.DECISIONS)
+_case_process("r02_start_forms", cases.STARTS)
+_case_process("c04_updates", cases.UPDATES)
+_case_order("w00_flush_order", cases.FLUSHES)
+_case_order("w09_no_completion_records", cases.NO_COMPLETION, Options(no_completion_records=True))
+_case_order("w10_durations", cases.SLOW, Options(output_every=timedelta(seconds=10)))
+
+
+@_add("t05_table_sections", cases.others_twin(cases.SECTIONS))
+def t05(spark, d):
+    rows = build_tables(parse_log(cases.lines_of(spark, d, cases.SECTIONS))).table_use
+    return rows.select("log_id", "processkey", "lineNumber", "tableName", *(F.round(c, 3).alias(c) if c == "triggerLapse" else F.col(c) for c in cases.TABLE_DEFAULTS))
+
+
+@_add("e07_event_maxima", cases.others_twin(cases.EVENTS))
+def e07(spark, d):
+    return build_tables(parse_log(cases.lines_of(spark, d, cases.EVENTS))).events.select("log_id", *cases.EVENT_COLUMNS)
+
+
 # Metrics
 
 
