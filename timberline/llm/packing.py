@@ -24,7 +24,7 @@ from timberline.llm.tokens import encoder
 
 SEQUENCE = 1024
 #: Chunks in one generation of the encoder's memo; packing follows other stages in the same executors, so it takes less.
-MEMO_CHUNKS = 250_000
+MEMO_CHUNKS = 60_000
 
 
 def pack_histogram(counts: dict[int, int], capacity: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
